@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessel.llm import chat, exact_dedup, line_dedup, mixing
+from tessel.llm import chat, exact_dedup, html_extract, line_dedup, mixing, token_counts, wavelet
 from tessel.llm.frames import table
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -14,6 +18,14 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.WEIGHTS, mixing.BUDGET_SHARE)
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_wavelet_shards(spark, sf_dir):
+    return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark, sf_dir):
     return chat.format_trees(chat.messages_of(table(spark, sf_dir, "conversations")))
 
@@ -22,7 +34,7 @@ def op9_substring_dedup(spark, sf_dir):
     return line_dedup.dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op8_chat_format, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_exact_dedup, op3_mixing, op5_token_counts, op6_wavelet_shards, op8_chat_format, op9_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
