@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm import chat, exact_dedup, html_extract, line_dedup, mixing, token_counts, wavelet
+from tessel.llm import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, quality, token_counts, wavelet
 from tessel.llm.frames import table
 
 
@@ -26,6 +26,10 @@ def op6_wavelet_shards(spark, sf_dir):
     return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_format(spark, sf_dir):
     return chat.format_trees(chat.messages_of(table(spark, sf_dir, "conversations")))
 
@@ -34,7 +38,12 @@ def op9_substring_dedup(spark, sf_dir):
     return line_dedup.dedup_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_exact_dedup, op3_mixing, op5_token_counts, op6_wavelet_shards, op8_chat_format, op9_substring_dedup)}
+def op10_quality_classifier(spark, sf_dir):
+    kept = quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "quality_score", "quality_passage")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_exact_dedup, op3_mixing, op5_token_counts, op6_wavelet_shards, op7_decontamination, op8_chat_format, op9_substring_dedup, op10_quality_classifier)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
