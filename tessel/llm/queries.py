@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, quality, token_counts, wavelet
+from tessel.llm import chat, decontaminate, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, token_counts, wavelet
 from tessel.llm.frames import table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.WEIGHTS, mixing.BUDGET_SHARE)
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_quality_classifier(spark, sf_dir):
     return kept.select("doc_id", "quality_score", "quality_passage")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_exact_dedup, op3_mixing, op5_token_counts, op6_wavelet_shards, op7_decontamination, op8_chat_format, op9_substring_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_exact_dedup, op3_mixing, op4_ngram_join, op5_token_counts, op6_wavelet_shards, op7_decontamination, op8_chat_format, op9_substring_dedup, op10_quality_classifier)}
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
