@@ -1,0 +1 @@
+"""Frame to frame: tables with one row per value."""

@@ -1,0 +1 @@
+"""Tables in, tables out; the inputs elsewhere are frames."""

@@ -1,0 +1,2 @@
+"""Left empty on purpose: no operator of the inventory keeps state. The filters and columns of the other packages are
+stateless and work on streaming frames as they are."""
