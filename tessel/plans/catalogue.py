@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions import arrays, calendar, distance, elementwise, text
+from tessel.functions import arrays, calendar, classify, distance, elementwise, text
 from tessel.operators import filters, order, reduce, search, series, sets
+from tessel.session import capabilities
 from tessel.sources.tables import fields_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,7 +278,6 @@ for _name, _f in calendar.APPROX.items():
 
 # --- text ---
 
-SQL_WORD = text.WORD
 add_element("to_lowercase", lambda: text.to_lowercase(C("text")), "lower(text)", ("doc_id",), "documents")
 add("tokenize_string", lambda s, d: table(s, d, "documents").select(F.explode(text.tokenize(C("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{text.TOKEN}')) AS token FROM documents) GROUP BY 1")
 
@@ -304,3 +304,44 @@ add_array("array_dedup_sorted", lambda: arrays.dedup(C("a")), "list_sort(list_di
 add_array("array_lower_bound", lambda: arrays.lower_bound(C("a"), F.lit(500)), "len(list_filter(a, lambda x: x < 500))")
 add_array("array_last_at_most", lambda: arrays.last_at_most(C("a"), F.lit(500)), "CASE WHEN len(list_filter(a, lambda x: x <= 500)) = 0 THEN len(a) ELSE len(list_filter(a, lambda x: x <= 500)) - 1 END")
 add_array("array_filter_range", lambda: arrays.in_range(C("a"), 100, 900), "list_filter(a, lambda x: x BETWEEN 100 AND 900)")
+
+# --- classification of strings made of events, of which SQL knows the answers ---
+
+#: A string of an event, and the type, count and values that it must have.
+FORMS = [
+    ("props", "'String'", "1", "0", "0"),
+    ("CAST(event_id AS STRING)", "'Integer'", "1", "event_id", "0"),
+    ("concat('-', user_id, '.', '25')", "'Float'", "1", "-(user_id + 0.25)", "0"),
+    ("concat(event_id % 1000, 'e', 2)", "'Float'", "1", "(event_id % 1000) * 100", "0"),
+    ("concat('10.0.', user_id % 256, '.', event_id % 256)", "'IPAddressV4'", "1", "167772160 + (user_id % 256) * 256 + event_id % 256", "0"),
+    ("concat('2001:db8::', event_id % 10000)", "'IPAddressV6'", "1", "0", "0"),
+    ("concat(event_id % 90, '.5,-', user_id % 180, '.25')", "CASE WHEN event_id % 90 < 90 THEN 'Geo' END", "1", "event_id % 90 + 0.5", "-(user_id % 180 + 0.25)"),
+    ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")", "'ISO8601Date'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
+    ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+01:30'\")", "'ISO8601Date'", "1", "epoch_ms(date_trunc('second', ts)) - 5400000", "0"),
+    ("date_format(ts, 'yyyy-MM-dd')", "'FullDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
+    ("date_format(ts, 'yyyy/MM/dd HH:mm:ss')", "'GenericDate'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
+    ("date_format(ts, 'MM/dd/yyyy')", "'AmericanDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
+    ("date_format(ts, 'dd/MM/yyyy')", "CASE WHEN day(ts) > 12 THEN 'EuropeanDate' ELSE 'AmericanDate' END", "1", "CASE WHEN day(ts) > 12 THEN epoch_ms(date_trunc('day', ts)) ELSE epoch_ms(make_timestamp(year(ts), day(ts), month(ts), 0, 0, 0.0)) END", "0"),
+    ("date_format(ts, 'd') || CASE WHEN day(ts) IN (1, 21, 31) THEN 'st' WHEN day(ts) IN (2, 22) THEN 'nd' WHEN day(ts) IN (3, 23) THEN 'rd' ELSE 'th' END || date_format(ts, ' MMMM yyyy')", "'FinancialDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
+    ("date_format(ts, \"'Mon' MMM dd HH:mm:ss yyyy\")", "'LogDate'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
+    ("date_format(ts, \"'Mon', dd MMM yyyy HH:mm:ss '+0200'\")", "'RFC2822Date'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
+    ("concat('/', event_type, '/', event_id, '.log')", "'File'", "1", "0", "0"),
+    ("CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END", "CASE WHEN event_id % 2 = 0 THEN 'Boolean' ELSE 'Null' END", "1", "1 - event_id % 2", "0"),
+    ("concat('now+', event_id, 'h-1d/d')", "'DateMath'", "1", "1705276800000 + floor((event_id * 3600000 - 86400000 + 43200000) / 86400000.0::DOUBLE) * 86400000", "0"),
+    ("concat('[', event_id, ', ', user_id, ',7]')", "'IntegerArray'", "3", "0", "0"),
+    ("concat('[1.5, ', event_id, ']')", "'Array'", "2", "0", "0"),
+    ("concat('[1, 2, ', event_type, ', 3]')", "'String'", "2", "0", "0"),
+]
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.array(*[F.expr(f[0]) for f in FORMS])).alias("form", "s"))
+    noon = F.lit(1705276800000 + 43200000)  # the clock of date arithmetic
+    return rows.select("event_id", "form", classify.classify(F.col("s"), noon).alias("c")).select("event_id", "form", "c.*")
+
+
+add("classify_string", classified, " UNION ALL ".join(f"SELECT event_id, {i} AS form, {k} AS kind, {n}::BIGINT AS element_count, ({a})::DOUBLE AS numeric_value_1, ({b})::DOUBLE AS numeric_value_2 FROM events" for i, (_, k, n, a, b) in enumerate(FORMS)))
+
+# --- what the session offers in place of processor probes and chunk sizes ---
+
+add("capabilities", lambda s, d: s.createDataFrame(sorted(capabilities(s).items()), "name string, value string"), None)
