@@ -59,7 +59,7 @@ def mix_sources(
     budget, width = int((all_tokens or 0) * budget_share), (last or 0.0) / BUCKETS or 1.0
 
     def timed(frame: DataFrame) -> DataFrame:
-        within = Window.partitionBy("key", "bucket").orderBy("at", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy("key", "bucket").orderBy("at", F.col("id").asc_nulls_last())
         summed = frame.withColumn("run", F.sum("tokens").over(within)).drop("weight")
         starts = sums.select("key", "bucket", "weight", "start")  # the window's partitioning serves the join too
         return summed.join(starts, ["key", "bucket"]).withColumn("time", (F.col("start") + F.col("run")) / F.col("weight"))
@@ -94,7 +94,7 @@ WITH d AS (
     CASE source WHEN 'src0' THEN 0.5::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 2.0::DOUBLE WHEN 'src3' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM documents),
 t AS (
-  SELECT *, (sum(tokens) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT::DOUBLE / weight AS virtual_time FROM d),
+  SELECT *, (sum(tokens) OVER (PARTITION BY source ORDER BY k, doc_id))::BIGINT::DOUBLE / weight AS virtual_time FROM d),
 r AS (
   SELECT *, sum(tokens) OVER (ORDER BY virtual_time, source NULLS FIRST, k, doc_id) AS run FROM t)
 SELECT doc_id, text, lang, source, n_chars, virtual_time FROM r

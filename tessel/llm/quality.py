@@ -174,7 +174,7 @@ def train(texts: list[str], good, loss: float = LOSS) -> Model | None:
     import numpy as np
 
     there = [i for i, t in enumerate(texts) if t and not t.isspace()]
-    texts, good = [texts[i] for i in there], np.array([bool(good[i]) for i in there])
+    texts, good = [texts[i] for i in there], np.array([bool(good[i]) for i in there], bool)
     if min(good.sum(), (~good).sum()) < 2:
         return None
     # Halves take turns within each class.
