@@ -61,44 +61,45 @@ def rules(s: Column, now_ms: Column) -> list[tuple[str, Column, Column, Column]]
     zero = F.lit(0.0)
     out: list[tuple[str, Column, Column, Column]] = []
 
-    def rule(tag: str, pattern: str, value: Callable[[Callable[[int], Column]], Column] | None = None, also: Callable[[Callable[[int], Column]], Column] | None = None, second: Callable[[Callable[[int], Column]], Column] | None = None) -> None:
+    def rule(tag: str, pattern: str, value: Callable[[Callable[[int], Column]], Column] | None = None, also: Callable[[Callable[[int], Column]], Column] | None = None, second: Callable[[Callable[[int], Column]], Column] | None = None, needs: str = "") -> None:
         anchored = rf"\A(?:{pattern})\z"
         g = lambda k: group(s, anchored, k)
-        fits = s.rlike(anchored)
+        # What every string of the pattern contains is looked for first: most rules are ruled out by that alone.
+        fits = s.contains(needs) & s.rlike(anchored) if needs else s.rlike(anchored)
         if also is not None:
             fits = fits & F.coalesce(also(g), F.lit(False))
         out.append((tag, fits, value(g).cast("double") if value else zero, second(g).cast("double") if second else zero))
 
     full6 = rf"{HEX}(?::{HEX}){{7}}"
     short6 = rf"(?:{HEX}(?::{HEX}){{0,6}})?::(?:(?:{HEX}:){{0,5}}(?:{HEX}|{V4}))?"
-    rule("IPAddressV6", f"{full6}|{short6}", also=lambda g: F.length(F.regexp_replace(s, "[^:]", "")) <= 8)
-    rule("IPAddressV4", V4, lambda g: ((g(1).cast("bigint") * 256 + g(2).cast("bigint")) * 256 + g(3).cast("bigint")) * 256 + g(4).cast("bigint"))
+    rule("IPAddressV6", f"{full6}|{short6}", also=lambda g: F.length(F.regexp_replace(s, "[^:]", "")) <= 8, needs=":")
+    rule("IPAddressV4", V4, lambda g: ((g(1).cast("bigint") * 256 + g(2).cast("bigint")) * 256 + g(3).cast("bigint")) * 256 + g(4).cast("bigint"), needs=".")
     place = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)),([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
-    rule("Geo", place, lambda g: number_value(g(1)), lambda g: (F.abs(number_value(g(1))) < 90) & (F.abs(number_value(g(2))) < 180), lambda g: number_value(g(2)))
+    rule("Geo", place, lambda g: number_value(g(1)), lambda g: (F.abs(number_value(g(1))) < 90) & (F.abs(number_value(g(2))) < 180), lambda g: number_value(g(2)), needs=",")
     rule("Float", r"[+-]?[0-9]+\.(?:[0-9]+(?:[eE][+-]?[0-9]+)?)?|[+-]?[0-9]+[eE][+-]?[0-9]+", lambda g: number_value(s))
     shifts = F.regexp_extract_all(F.regexp_replace(s, "/.*", ""), F.lit(r"([+-][0-9]+[yMwdhHms])"), F.lit(1))
     unit = lambda c: F.element_at(F.create_map(*[x for k, v in UNIT_MS.items() for x in (F.lit(k), F.lit(float(v)))]), c)
     moved = F.aggregate(shifts, now_ms.cast("double"), lambda t, x: t + number_value(F.substring(x, 1, F.length(x) - 1)) * unit(F.substring(x, -1, 1)))
     step = unit(F.nullif(F.regexp_extract(s, "/([yMwdhHms])", 1), F.lit("")))
-    rule("DateMath", r"now(?:[+-][0-9]+[yMwdhHms])*(?:/[yMwdhHms].*)?", lambda g: F.when(step.isNotNull(), F.floor(moved / step) * step).otherwise(moved))
-    rule("LogDate", rf"\s*{DAY_NAMES}\s+{MONTH_NAMES}\s+{DAY}\s+{TIME}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(7)), month_number(g(1)), number(g(2))) + time_ms(g(3), g(4), g(5), g(6)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2)
+    rule("DateMath", r"now(?:[+-][0-9]+[yMwdhHms])*(?:/[yMwdhHms].*)?", lambda g: F.when(step.isNotNull(), F.floor(moved / step) * step).otherwise(moved), needs="now")
+    rule("LogDate", rf"\s*{DAY_NAMES}\s+{MONTH_NAMES}\s+{DAY}\s+{TIME}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(7)), month_number(g(1)), number(g(2))) + time_ms(g(3), g(4), g(5), g(6)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2, needs=":")
     zone = lambda g: F.when(g(8).isNull(), 0).otherwise(F.when(g(8) == "-", -1).otherwise(1) * (number(g(9)) * 60 + number(g(10)))).cast("bigint") * 60000
-    rule("ISO8601Date", rf"{YEAR}-{MONTH}-{DAY}[Tt]([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:\.([0-9]+))?)?{TIME_ZONE}", lambda g: day_ms(number(g(1)), number(g(2)), number(g(3))) + time_ms(g(4), g(5), g(6), g(7)) - zone(g), lambda g: F.locate("T", F.upper(s)) >= 11)
-    rule("RFC2822Date", rf"{DAY_NAMES},\s*{DAY}\s+{MONTH_NAMES}\s+{YEAR}\s+{TIME}\s+(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):?[0-5][0-9])(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(g(1))) + time_ms(g(4), g(5), g(6), g(7)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2)
+    rule("ISO8601Date", rf"{YEAR}-{MONTH}-{DAY}[Tt]([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:\.([0-9]+))?)?{TIME_ZONE}", lambda g: day_ms(number(g(1)), number(g(2)), number(g(3))) + time_ms(g(4), g(5), g(6), g(7)) - zone(g), lambda g: F.locate("T", F.upper(s)) >= 11, needs="-")
+    rule("RFC2822Date", rf"{DAY_NAMES},\s*{DAY}\s+{MONTH_NAMES}\s+{YEAR}\s+{TIME}\s+(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):?[0-5][0-9])(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(g(1))) + time_ms(g(4), g(5), g(6), g(7)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2, needs=",")
     for tag, pattern, m, d in (("AmericanDate", rf"{MONTH}/{DAY}", 1, 2), ("EuropeanDate", rf"{DAY}/{MONTH}", 2, 1)):
         # A time that isn't one counts as midnight.
-        rule(tag, rf"{pattern}/{YEAR}(?: (?:{TIME}|[^/]*))?", lambda g, m=m, d=d: day_ms(number(g(3)), number(g(m)), number(g(d))) + time_ms(g(4), g(5), g(6), g(7)))
-    rule("VerboseDate", rf"\s*{DAY_NAMES},?\s+the\s+{ORDINAL}\s+of\s+{MONTH_NAMES},?\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))), lambda g: F.length(F.regexp_replace(s, "[^,]", "")) >= 2)
-    rule("FinancialDate", rf"\s*{ORDINAL}\s+{MONTH_NAMES}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))))
+        rule(tag, rf"{pattern}/{YEAR}(?: (?:{TIME}|[^/]*))?", lambda g, m=m, d=d: day_ms(number(g(3)), number(g(m)), number(g(d))) + time_ms(g(4), g(5), g(6), g(7)), needs="/")
+    rule("VerboseDate", rf"\s*{DAY_NAMES},?\s+the\s+{ORDINAL}\s+of\s+{MONTH_NAMES},?\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))), lambda g: F.length(F.regexp_replace(s, "[^,]", "")) >= 2, needs=",")
+    rule("FinancialDate", rf"\s*{ORDINAL}\s+{MONTH_NAMES}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))), needs=" ")
     month = lambda g: F.coalesce(g(2).try_cast("int"), month_number(g(3)))
     day = lambda g: F.coalesce(g(4).try_cast("int"), F.lit(1))
     inside = lambda y, m, d: d <= F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))
-    rule("FullDate", rf"{YEAR}-(?:{MONTH}|{MONTH_NAMES})-(?:{DAY}|{DAY_NAMES})", lambda g: day_ms(number(g(1)), month(g), day(g)), lambda g: inside(number(g(1)), month(g), day(g)))
+    rule("FullDate", rf"{YEAR}-(?:{MONTH}|{MONTH_NAMES})-(?:{DAY}|{DAY_NAMES})", lambda g: day_ms(number(g(1)), month(g), day(g)), lambda g: inside(number(g(1)), month(g), day(g)), needs="-")
     rule("GenericDate", rf"{YEAR}([-/.])(0[1-9]|1[0-2])\2(0[1-9]|[12][0-9]|3[01])(?: (?:{TIME}|.{{8,}}))?", lambda g: day_ms(number(g(1)), number(g(3)), number(g(4))) + time_ms(g(5), g(6), g(7), g(8)), lambda g: inside(number(g(1)), number(g(3)), number(g(4))) & ((F.length(s) == 10) | (F.length(F.regexp_replace(s, "[^:]", "")) >= 2)))
     digits = F.regexp_replace(s, "^[+-]", "")
     rule("Integer", "[+-]?[0-9]+", lambda g: F.when(F.length(digits) > 20, 0.0).otherwise(number_value(s)))
     rule("Boolean", "true|false", lambda g: F.when(s == "true", 1.0).otherwise(0.0))
-    rule("File", r"(?:/[A-Za-z0-9._~-]+)+/?")
+    rule("File", r"(?:/[A-Za-z0-9._~-]+)+/?", needs="/")
     rule("Null", "null")
     return out
 
