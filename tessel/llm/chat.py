@@ -20,37 +20,44 @@ def format_trees(messages: DataFrame, per_root: int = 1) -> DataFrame:
     """The best root-to-leaf paths of reply trees, each as one conversation.
 
     ``messages`` has ``tree``, ``id``, ``parent``, ``role``, ``text`` and ``score``; other columns are left alone. A
-    message whose parent is null, or absent from its tree, is a root. Each round joins the paths so far with their
-    replies; a path without one has reached a leaf. A branch scores the sum of its messages' scores; the ``per_root``
-    best of each root are formatted, ties going to the path whose list of identifiers is smaller.
+    message whose parent is null, or absent from its tree, is a root. Self-joins double the reach of every message's
+    pointer until all have met their roots, which takes the logarithm of the greatest depth; on the way they add up
+    scores. A branch scores the sum of its messages' scores; the ``per_root`` best of each root are chosen, ties going to
+    the smaller leaf. The doubled pointers, taken back from the longest, then list each chosen branch's messages.
 
     Gives ``tree``, ``root``, ``leaf``, ``rank``, ``n_turns``, ``score`` and ``conversation``. A null score counts as 0, a
     null text as empty, a null role as user. Rows with a null tree or identifier are left out. Of rows that share tree
-    and identifier one stays: the least by (parent, role, text, score). Messages in a cycle hang from no root and are
-    left out. An empty table gives an empty table.
+    and identifier one stays: the least by (parent, role, text, score). Messages that hang from a cycle have no root and
+    are left out. An empty table gives an empty table.
     """
     named = [F.col(c).alias(c) for c in ("tree", "id", "parent", "role", "text", "score")]
     rows = messages.select(*named).where("tree IS NOT NULL AND id IS NOT NULL")
     rest = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = written(rows.groupBy("tree", "id").agg(F.min(rest).alias("m")).select("tree", "id", "m.*"))
     ids = nodes.select("tree", F.col("id").alias("parent"))
-    start = nodes.join(ids, ["tree", "parent"], "left_anti")
-    node = F.struct(F.col("id"), turn(F.col("role"), F.col("text")).alias("text"))
-    paths = written(start.select("tree", F.col("id").alias("root"), F.col("id").alias("leaf"), F.array(node).alias("path"), "score"))
-    replies = nodes.select("tree", F.col("parent").alias("leaf"), F.struct("id", turn(F.col("role"), F.col("text")).alias("text")).alias("next"), F.col("score").alias("more"))
-    replies = replies.where("leaf IS NOT NULL")
-    leaves = []
-    while not paths.isEmpty():  # one round for each level of the deepest tree
-        both = written(paths.join(replies, ["tree", "leaf"], "left"))
-        leaves.append(both.where("next IS NULL").select("tree", "root", "leaf", "path", "score"))
-        paths = both.where("next IS NOT NULL").select("tree", "root", F.col("next.id").alias("leaf"), F.concat("path", F.array("next")).alias("path"), (F.col("score") + F.col("more")).alias("score"))
-    ended = leaves[0] if leaves else paths
-    for x in leaves[1:]:
-        ended = ended.unionByName(x)
-    best = Window.partitionBy("tree", "root").orderBy(F.col("score").desc(), F.col("ids"))
-    ranked = ended.withColumn("ids", F.transform("path", lambda x: x["id"])).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_root)
-    text = F.array_join(F.transform("path", lambda x: x["text"]), "")
-    return ranked.select("tree", "root", "leaf", "rank", F.size("path").alias("n_turns"), "score", text.alias("conversation"))
+    rooted = nodes.join(ids, ["tree", "parent"], "left_semi").select("tree", "id", "parent")
+    reach = nodes.select("tree", "id", "score").join(rooted, ["tree", "id"], "left")
+    # Each message's pointer ``up``; ``top`` is the last message before it, and ``score`` and ``n`` are of those up to ``top``.
+    reach = written(reach.select("tree", "id", F.col("parent").alias("up"), F.col("id").alias("top"), "score", F.lit(1).alias("n")))
+    jumps, most = [], nodes.count()
+    while 1 << len(jumps) <= most and not reach.where("up IS NOT NULL").isEmpty():
+        jumps.append(reach.where("up IS NOT NULL").select("tree", "id", "up"))
+        next_ = reach.select("tree", F.col("id").alias("up"), F.struct("up", "top", "score", "n").alias("b"))
+        both = reach.join(next_, ["tree", "up"], "left")
+        reach = written(both.select("tree", "id", F.col("b.up").alias("up"), F.coalesce("b.top", "top").alias("top"), (F.col("score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("b.n", F.lit(0))).alias("n")))
+    parents = nodes.select("tree", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
+    leaves = reach.where("up IS NULL").join(parents, ["tree", "id"], "left_anti")
+    best = Window.partitionBy("tree", "top").orderBy(F.col("score").desc(), "id")
+    chosen = written(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_root))
+    path = chosen.select("tree", F.col("id").alias("leaf"), "id", F.col("n").alias("at"))
+    for k in reversed(range(len(jumps))):
+        above = path.join(jumps[k], ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("at") - F.lit(1 << k)).alias("at"))
+        path = written(path.unionByName(above))
+    said = path.join(nodes.select("tree", "id", turn(F.col("role"), F.col("text")).alias("turn")), ["tree", "id"])
+    said = said.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "turn"))).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda x: x["turn"]), "")
+    branches = chosen.select("tree", F.col("top").alias("root"), F.col("id").alias("leaf"), "rank", F.col("n").alias("n_turns"), "score")
+    return branches.join(said, ["tree", "leaf"]).select("tree", "root", "leaf", "rank", "n_turns", "score", text.alias("conversation"))
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
@@ -69,12 +76,12 @@ WITH RECURSIVE m AS (
     '<|im_start|>' || coalesce(role, 'user') || chr(10) || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') || '<|im_end|>' || chr(10) AS said
   FROM conversations),
 p AS (
-  SELECT tree, id AS root, id AS leaf, 1 AS n_turns, score, said, [id] AS ids FROM m WHERE parent IS NULL
+  SELECT tree, id AS root, id AS leaf, 1 AS n_turns, score, said FROM m WHERE parent IS NULL
   UNION ALL
-  SELECT p.tree, p.root, m.id, p.n_turns + 1, p.score + m.score, p.said || m.said, list_append(p.ids, m.id)
+  SELECT p.tree, p.root, m.id, p.n_turns + 1, p.score + m.score, p.said || m.said
   FROM p JOIN m ON p.tree = m.tree AND p.leaf = m.parent),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY tree, root ORDER BY score DESC, ids) AS rank FROM p
+  SELECT *, row_number() OVER (PARTITION BY tree, root ORDER BY score DESC, leaf) AS rank FROM p
   WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tree = p.tree AND m.parent = p.leaf))
 SELECT tree, root, leaf, rank::INT AS rank, n_turns::INT AS n_turns, score, said AS conversation FROM r WHERE rank <= 1
 """
