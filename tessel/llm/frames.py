@@ -57,12 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table written in the shared folder: it cuts lineage and outlives the loss of any executor."""
+    """``df`` from a table written in the shared folder: it cuts lineage and outlives the loss of any executor.
+
+    Then the driver collects its garbage, upon which executors delete the shuffle files of what is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t.written_at)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -83,3 +95,17 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def trimmed() -> None:
+    """Gives memory that a finished task has freed back to the machine: workers live on, and would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

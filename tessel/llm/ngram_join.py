@@ -7,14 +7,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed, partitions, written
+from tessel.llm.frames import Packed, partitions, release, trimmed, written
 
 #: Words of a gram, and the least Jaccard similarity of a pair.
 N, THRESHOLD = 3, 0.55
-#: One document in so many becomes a pivot, from one level of the recursion to the next. At the last each one left is.
-LEVELS = (64, 8, 1)
-#: Rows up to which a table of keys is sent to every worker rather than shuffled: at most some 100 MB.
-SENT = 2_000_000
+#: One document in so many becomes a pivot, from one level of the recursion to the next. At the last each one left is. As each
+#: level has eight times the pivots of the one before, a cluster of any size is settled by few, and sent to few regions.
+LEVELS = (512, 64, 8, 1)
+#: Rows up to which a table of keys, and one of pivots' grams, is sent to every worker rather than shuffled: at most some 100 MB.
+SENT, SENT_GRAMS = 2_000_000, 200_000
 
 
 def gram_sets(texts: list[str], n: int) -> list:
@@ -70,7 +71,7 @@ def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    from tessel.llm.tokens import by_size
+    from tessel.llm.tokens import lots
 
     names = ["part", "keys", "sizes", "counts", "grams"]
     kinds = [pa.int32(), *[pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]]
@@ -92,18 +93,21 @@ def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
     keys, sets, size = [], [], 0
     for b in batches:
         at, all_keys = 0, b.column("key").to_numpy()
-        for lot in by_size(b.column("text").to_pylist()):
+        for lot in lots(b.column("text"), 1_000_000):
             for k, s in zip(all_keys[at : at + len(lot)], gram_sets(lot, n), strict=True):
                 if len(s):
                     keys.append(k)
                     sets.append(s)
                     size += len(s)
             at += len(lot)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield out(np.array(keys), sets)
                 keys, sets, size = [], [], 0
+                pa.default_memory_pool().release_unused()
     if size:
         yield out(np.array(keys), sets)
+    keys = sets = None
+    trimmed()
 
 
 def met(batches: Iterator) -> Iterator:
@@ -111,17 +115,17 @@ def met(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    lots = [[], [], [], []]
+    held = [[], [], [], []]
     for b in batches:
         part = b.column("part").to_numpy().astype(np.uint64)
         grams = b.column("grams")
         each = np.diff(grams.offsets.to_numpy())
-        lots[0].append((np.repeat(part, each) << np.uint64(32)) | grams.flatten().to_numpy().view(np.uint32))
+        held[0].append((np.repeat(part, each) << np.uint64(32)) | grams.flatten().to_numpy().view(np.uint32))
         for k, c in enumerate(("keys", "sizes", "counts")):
-            lots[k + 1].append(b.column(c).flatten().to_numpy())
-    if not lots[0]:
+            held[k + 1].append(b.column(c).flatten().to_numpy())
+    if not held[0]:
         return
-    grams, keys, sizes, counts = (np.concatenate(x) for x in lots)
+    grams, keys, sizes, counts = (np.concatenate(x) for x in held)
     if not len(grams):
         return
     order = np.argsort(grams, kind="stable")
@@ -134,6 +138,8 @@ def met(batches: Iterator) -> Iterator:
     for a in range(0, len(some), 100_000):
         at = some[a : a + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(sizes[at].astype(np.int32)), pa.array(n[at].astype(np.int32))], names=["key", "size", "shared"])
+    held = grams = order = shared = None
+    trimmed()
 
 
 def with_grams(batches: Iterator, n: int) -> Iterator:
@@ -142,11 +148,11 @@ def with_grams(batches: Iterator, n: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    from tessel.llm.tokens import by_size
+    from tessel.llm.tokens import lots
 
     for b in batches:
         at = 0
-        for lot in by_size(b.column("text").to_pylist()):
+        for lot in lots(b.column("text"), 1_000_000):
             sets = gram_sets(lot, n)
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64)
@@ -226,7 +232,6 @@ def joined(batches: Iterator, r: float) -> Iterator:
                 continue
             part = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in rows])
             at = np.concatenate(([0], np.cumsum([offsets[i + 1] - offsets[i] for i in rows])))
-            inner = int(mine.sum())
             for k, (x, grams, size, dx) in enumerate(cell):
                 near = np.abs(d[rows] - dx) <= r + 1e-9  # by the triangle inequality no other row can be a partner
                 if k >= fresh:
@@ -239,7 +244,6 @@ def joined(batches: Iterator, r: float) -> Iterator:
                     found[0].append(x)
                     found[1].append(int(key[rows[i]]))
                     found[2].append(float(j[i]))
-            del inner
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["x", "y", "jaccard"])
 
 
@@ -254,8 +258,9 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame
     A document close enough to a pivot to matter shares one of both's rarest grams (the prefix bound), so that distances are
     worked out only there; all other documents are farther.
     """
-    spark = core.sparkSession
-    parts = partitions(spark)
+    if not levels or levels[-1] != 1:
+        raise ValueError("at the last level every document must be a pivot: levels end with 1")
+    parts = partitions(core.sparkSession)
     out = None
     for number, every in enumerate(levels):
         radius = 0.0 if every == 1 else r / 2
@@ -269,10 +274,10 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame
         close = close & (F.col("key") != F.col("pivot"))
         if every == 1:
             close = close & (F.col("key") > F.col("pivot"))  # either is the other's pivot
-        near = pivots.join(prefix, "gram").where(close).select("pivot", "key").distinct()
+        near = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).select("pivot", "key").distinct()
         near = written(near)
         selves = near.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))
-        both = near.unionByName(selves).join(core.select("key", "size", "grams"), "key")
+        both = core.select("key", "size", "grams").join(small(near.unionByName(selves)), "key")
         ordered = both.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("key") != F.col("pivot"))
         d = ordered.select("pivot", "key", "size", "grams").mapInArrow(distances, "pivot long, key long, d double").where(F.col("d") <= radius + r + 1e-9)
         if every == 1:
@@ -283,12 +288,16 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame
             homes = written(homes.select("key", F.col("m.pivot").alias("home"), F.col("m.d").alias("home_d")))
             reach = homes.groupBy(F.col("home").alias("pivot")).agg((F.max("home_d") + r).alias("reach"))
             region = d.join(reach, "pivot").where(F.col("d") <= F.col("reach") + 1e-9).join(homes.select("key", "home"), "key", "left")
-            region = region.join(core.select("key", "size", "grams"), "key")
+            region = core.select("key", "size", "grams").join(small(written(region)), "key")
             inside = F.coalesce(F.col("home") == F.col("pivot"), F.lit(False))
             region = region.repartition(parts, "pivot").sortWithinPartitions("pivot", (~inside))
             pairs = region.select("pivot", "key", "size", "d", "home", "grams").mapInArrow(lambda it: joined(it, r), "x long, y long, jaccard double")
-            core = written(core.join(homes.select("key"), "key", "left_anti"))
+            left = written(core.join(homes.select("key"), "key", "left_anti"))
         pairs = written(pairs)
+        release(near, core)
+        if every != 1:
+            release(d, homes)
+            core = left
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
@@ -308,7 +317,7 @@ def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, level
     aren't paired with each other, and a pair's similarity is the highest of its rows. An empty table gives an empty
     table. Other columns are ignored.
     """
-    spark, r, parts = docs.sparkSession, 1 - threshold, partitions(docs.sparkSession)
+    r, parts = 1 - threshold, partitions(docs.sparkSession)
     rows = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.xxhash64(id_, text).alias("key"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL")
     kinds = "part int, keys array<long>, sizes array<int>, counts array<int>, grams array<int>"
@@ -321,14 +330,17 @@ def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, level
     classes = found.groupBy("same").agg(F.min(F.struct("id", "key")).alias("m"))
     classes = written(classes.select("same", F.col("m.id").alias("first"), F.col("m.key").alias("key")))
     copies = found.select("same", "id").join(classes.select("same", "first"), "same").where("id <> first")
-    copies = copies.select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    copies = written(copies.select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
     one = found.select("key", "grams").join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
     one = written(one)
+    release(maybe, found)
     grams = one.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     core = kept.where(F.size("g") >= F.lit(threshold) * F.col("size") - 1e-9).select("key", "size", F.transform("g", lambda g: g["gram"]).alias("grams"))
-    pairs = region_join(written(core), r, levels)
+    core = written(core)
+    release(one)
+    pairs = region_join(core, r, levels)
     firsts = classes.select("key", "first")
     named = pairs.join(firsts.select(F.col("key").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("key").alias("y"), F.col("first").alias("b")), "y")
     named = named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")

@@ -70,7 +70,7 @@ def encode_pieces(names: list[str], encoder):
 class Coder:
     """Token ids of many texts; what a piece becomes is remembered for up to ``most`` pieces, then learnt anew."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.encoder, self.most = encoding(path), most
         self.forget()
 
@@ -110,14 +110,17 @@ class Coder:
         return ids, np.diff(edges)
 
 
-def by_size(texts: list, most: int = 2_000_000):
-    """Neighbouring texts in lots of about ``most`` characters, so that memory doesn't follow a batch's longest texts."""
-    lot, size = [], 0
-    for t in texts:
-        lot.append(t)
-        size += len(t)
-        if size >= most:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
+def lots(column, most: int = 2_000_000):
+    """Neighbouring texts of an Arrow column without nulls, in lots of about ``most`` bytes.
+
+    Only one lot at a time is made into strings, so that memory follows neither a batch's size nor, beyond one, its longest texts.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(column):
+        z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most)))
+        yield column.slice(a, z - a).to_pylist()
+        a = z
