@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed
-from tessel.llm.tokens import by_size
+from tessel.llm.frames import Packed, trimmed
+from tessel.llm.tokens import lots
 
 Q = 10  # characters of a gram
 SEGMENT, STRIDE = 80, 40  # characters of a benchmark segment, and from one to the next
@@ -184,7 +184,7 @@ def matches(batches: Iterator, shared) -> Iterator:
     kind = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("segments", pa.int32())]))
     for b in batches:
         out = []
-        for lot in by_size([t or "" for t in b.column("text").to_pylist()]):
+        for lot in lots(b.column("text").fill_null("")):
             chars = folded("".join(t + gap for t in lot), table)
             ends = np.cumsum([len(t) + len(gap) for t in lot])
             found: list[dict] = [{} for _ in lot]
@@ -206,6 +206,7 @@ def matches(batches: Iterator, shared) -> Iterator:
                         was["segments"].add(int(seg[k]))
             out += [[x | {"segments": len(x["segments"])} for _, x in sorted(f.items())] for f in found]
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, kind)], names=["row", "found"])
+    trimmed()
 
 
 def passes(benchmark: DataFrame, text: str, item: str):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessel.llm.frames import Packed
-from tessel.llm.tokens import by_size
+from tessel.llm.frames import Packed, trimmed
+from tessel.llm.tokens import lots
 
 #: Words of a passage.
 PASSAGE = 64
@@ -44,7 +44,7 @@ class Encoder:
 
     width = 14
 
-    def __init__(self, lexicon: dict, most: int = 400_000):
+    def __init__(self, lexicon: dict, most: int = 150_000):
         self.lexicon, self.most = lexicon, most
         self.forget()
 
@@ -206,7 +206,7 @@ def scored(batches: Iterator, shared) -> Iterator:
     encoder = Encoder(model.lexicon) if model else None
     for b in batches:
         scores, peaks = [], []
-        for lot in by_size([t or "" for t in b.column("text").to_pylist()]):
+        for lot in lots(b.column("text").fill_null("")):
             s, p = np.zeros(len(lot)), np.full(len(lot), -1, np.int32)
             if model:
                 x, bags = encoder.encode(lot)
@@ -224,6 +224,8 @@ def scored(batches: Iterator, shared) -> Iterator:
             peaks.append(p)
         columns = [pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(peaks) if peaks else [], pa.int32())]
         yield pa.RecordBatch.from_arrays([b.column("row"), *columns], names=["row", "score", "peak"])
+    encoder = None
+    trimmed()
 
 
 def trained(docs: DataFrame, labels: DataFrame, training: int = TRAINING, text: str = "text", id_: str = "doc_id") -> Model | None:

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed
-from tessel.llm.tokens import VOCABULARY, Coder, by_size
+from tessel.llm.frames import Packed, trimmed
+from tessel.llm.tokens import VOCABULARY, Coder, lots
 
 MAGIC = b"WVMX0001"
 BLOCK = 1 << 16  # bytes of a plane that are compressed together
@@ -196,7 +196,7 @@ def shards(batches: Iterator, path: str, bits: int, end: int | None, most: int)
 
     for b in batches:
         b, at = b.filter(b.column("text").is_valid()), 0
-        for lot in by_size(b.column("text").to_pylist()):
+        for lot in lots(b.column("text")):
             got, n = coder.encode(lot, end)
             ids.append(got.astype(kind))
             lens.append(n)
@@ -207,6 +207,8 @@ def shards(batches: Iterator, path: str, bits: int, end: int | None, most: int)
                 yield close()
     if lens:
         yield close()
+    coder = None
+    trimmed()
 
 
 def wavelet_shards(docs: DataFrame, path: str = VOCABULARY, bits: int = BITS, end: int | None = END, shard_tokens: int = SHARD, text: str = "text", id_: str = "doc_id") -> DataFrame:
