@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed, written
+from tessel.llm.frames import Packed, trimmed, written
 from tessel.llm.tokens import VOCABULARY, encode_pieces, encoding, pieces
 
 #: Distinct pre-tokens whose counts every worker holds: about 25 MB. All others are joined by a shuffle.
@@ -31,6 +31,8 @@ def distinct(batches: Iterator, most: int = 500_000) -> Iterator:
                     seen = Counter()
     if seen:
         yield out(seen)
+    seen = None
+    trimmed()
 
 
 def counted(batches: Iterator, path: str) -> Iterator:
@@ -88,8 +90,15 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, head: int = HEAD, text
     texts = p.frame.select(F.col(id_).alias("id"), F.col(text).alias("text"))
     found = texts.select("text").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = written(found.mapInArrow(lambda it: counted(it, path), "piece string, n long, tokens long"))
-    top = vocabulary.orderBy(F.col("n").desc(), "piece").limit(head).select("piece", "tokens").toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(top["piece"], top["tokens"].tolist(), strict=True)))
+    # The most frequent, by steps of a quarter of a power of two: as many steps as give no more than ``head`` pre-tokens.
+    step = F.floor(F.log2("n") * 4)
+    most, least = 0, None
+    for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():  # at most 256 rows
+        if most + r["n"] > head:
+            break
+        most, least = most + r["n"], r["step"]
+    known = {} if least is None else {r["piece"]: r["tokens"] for r in vocabulary.where(step >= least).select("piece", "tokens").toLocalIterator()}
+    known = spark.sparkContext.broadcast(known)
     id_type = dict(texts.dtypes)["id"]
     docs_ = written(texts.mapInArrow(lambda it: summed(it, known), f"uid long, id {id_type}, known long, rest array<struct<piece:string,n:long>>"))
     rest = docs_.select("uid", F.explode("rest").alias("r")).select("uid", "r.piece", "r.n")
