@@ -10,11 +10,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tessel.llm.frames import Packed
 
-#: Units tile a text: a unit runs up to and with the line break or sentence end that closes it.
+#: Units tile a text: a unit runs up to and with the line break, sentence end or other mark that closes it.
+CLAUSE = r"[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+"
 SENTENCE = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
 LINE = r"[^\n]*\n|[^\n]+"
 PARAGRAPH = r"(?:[^\n]+\n?)+\n*|\n+"
-UNITS = {"sentence": SENTENCE, "line": LINE, "paragraph": PARAGRAPH}
+UNITS = {"clause": CLAUSE, "sentence": SENTENCE, "line": LINE, "paragraph": PARAGRAPH}
 NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
@@ -66,13 +67,14 @@ def cut(batches: Iterator, pattern: str, min_words: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("row"), cleaned, spans], names=["row", "clean", "spans"])
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 20, text: str = "text", id_: str = "doc_id") -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 20, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """Documents without what an earlier document, or an earlier place of the same one, has already said.
 
-    Units (``sentence``: lines cut further at sentence ends; ``line``; ``paragraph``) are normalised and hashed to 64
+    Units (``paragraph``; ``line``; ``sentence`` and ``clause``: lines cut further at sentence ends and at commas and colons)
+    are normalised and hashed to 64
     bits, digests are grouped over all documents, and the earliest occurrence by (identifier, digest of the text, place)
     is ranked first. Every other occurrence is marked; runs of neighbouring marked units with at least ``min_words``
-    words together are taken out. Common short sentences, alone, are thus left where they are.
+    words together are taken out. Common short units, alone, are thus left where they are.
 
     Columns are those of ``docs``, with ``text`` cleaned, and ``removed``: the spans taken out, as [start, end) in
     characters of the original text, in order. ``removed`` replaces an input column of that name. Units without a letter
@@ -91,7 +93,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 20, te
     firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = units.join(firsts, "digest").where((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
     marked = later.groupBy("key").agg(F.collect_set("at").alias("marked"))
-    both = rows.join(marked, "key", "left").select("row", "text", "marked")
+    both = rows.select("row", "key").join(marked, "key", "left").select("row", F.col(f"row.c{p.at[text]}").alias("text"), "marked")
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     schema = StructType([both.schema["row"], StructField("clean", StringType()), StructField("spans", ArrayType(span))])
     done = both.mapInArrow(lambda it: cut(it, pattern, min_words), schema)
@@ -101,7 +103,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 20, te
 ORACLE = r"""
 WITH u AS (
   SELECT doc_id, generate_subscripts(us, 1) AS k, unnest(us) AS unit FROM (
-    SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS us FROM documents)),
+    SELECT doc_id, regexp_extract_all(text, '[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+') AS us FROM documents)),
 n AS (
   SELECT *, trim(regexp_replace(lower(unit), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') AS norm,
     sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) AS start FROM u),
