@@ -83,7 +83,7 @@ def mix_sources(
     return p.unpack(kept.orderBy(*order), {"virtual_time": F.col("time")})
 
 
-#: Production weights: the three encyclopaedic sources count double, the crawl's hot source half.
+#: Weights of the registered query: the largest source counts half, three others double, and the rest once.
 WEIGHTS = {"src0": 0.5, "src1": 2.0, "src2": 2.0, "src3": 2.0}
 BUDGET_SHARE = 0.8
 
