@@ -16,6 +16,8 @@ N, THRESHOLD = 3, 0.55
 LEVELS = (512, 64, 8, 1)
 #: Rows up to which a table of keys, and one of pivots' grams, is sent to every worker rather than shuffled: at most some 100 MB.
 SENT, SENT_GRAMS = 2_000_000, 200_000
+#: Members of a class, about, that are spread over its pairs at once.
+BLOCK = 1000
 
 
 def gram_sets(texts: list[str], n: int) -> list:
@@ -302,20 +304,12 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame
     return out
 
 
-def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have at least ``threshold`` Jaccard similarity: ``doc_a`` < ``doc_b``, ``jaccard``.
-
-    Jaccard distance is a metric. Documents at distance 0 form classes, and a class is joined by its smallest identifier:
-    that one is paired with each other member, at 1.0, and stands for the class in all other pairs, whose similarity
-    its members share. So the result, though complete, doesn't grow with the square of the copies.
+def class_join(docs: DataFrame, n: int, threshold: float, levels: tuple[int, ...], text: str, id_: str) -> tuple[DataFrame, DataFrame]:
+    """Members (class, id) of the classes of documents with equal gram sets, and pairs (x, y, jaccard) of other classes.
 
     Before the join, grams are counted over all documents: only grams of two documents or more can meet, and a document
     with fewer of them than ``threshold`` of its grams has no partner. The others are joined in regions around pivots
-    (``region_join``). Every step is exact for 64-bit gram hashes.
-
-    Null identifiers or texts, and texts without words, are in no pair. Rows that share an identifier are one document: they
-    aren't paired with each other, and a pair's similarity is the highest of its rows. An empty table gives an empty
-    table. Other columns are ignored.
+    (``region_join``), one document for each class. Every step is exact for 64-bit gram hashes.
     """
     r, parts = 1 - threshold, partitions(docs.sparkSession)
     rows = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.xxhash64(id_, text).alias("key"))
@@ -328,25 +322,66 @@ def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, level
     found = rows.join(small(maybe), "key", "left_semi").select("id", "key", "text")
     found = written(found.mapInArrow(lambda it: with_grams(it, n), f"id {id_type}, key long, same binary, grams array<long>"))
     classes = found.groupBy("same").agg(F.min(F.struct("id", "key")).alias("m"))
-    classes = written(classes.select("same", F.col("m.id").alias("first"), F.col("m.key").alias("key")))
-    copies = found.select("same", "id").join(classes.select("same", "first"), "same").where("id <> first")
-    copies = written(copies.select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
-    one = found.select("key", "grams").join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    classes = written(classes.select("same", F.col("m.key").alias("class")))
+    members = written(found.select("same", "id").distinct().join(classes, "same").select("class", "id"))
+    one = found.select("key", "grams").join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     one = written(one)
-    release(maybe, found)
+    release(maybe, found, classes)
     grams = one.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     core = kept.where(F.size("g") >= F.lit(threshold) * F.col("size") - 1e-9).select("key", "size", F.transform("g", lambda g: g["gram"]).alias("grams"))
     core = written(core)
     release(one)
-    pairs = region_join(core, r, levels)
-    firsts = classes.select("key", "first")
-    named = pairs.join(firsts.select(F.col("key").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("key").alias("y"), F.col("first").alias("b")), "y")
+    return members, region_join(core, r, levels)
+
+
+def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """As many pairs of ``all_pairs`` as connect the same documents: ``doc_a`` < ``doc_b``, ``jaccard``.
+
+    Documents with equal gram sets form classes, and a class is joined by its smallest identifier: that one is paired
+    with each other member, at 1.0, and stands for the class in all other pairs, whose similarity its members share. So
+    the result doesn't grow with the square of the copies; it is for grouping, and leaves out the copies' other pairs.
+    """
+    members, pairs = class_join(docs, n, threshold, levels, text, id_)
+    firsts = members.groupBy("class").agg(F.min("id").alias("first"))
+    copies = members.join(firsts, "class").where("id <> first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    named = pairs.join(firsts.select(F.col("class").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("class").alias("y"), F.col("first").alias("b")), "y")
     named = named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
     return named.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """Every pair of documents whose sets of word n-grams have at least ``threshold`` Jaccard similarity: ``doc_a`` < ``doc_b``, ``jaccard``.
+
+    Jaccard distance is a metric. Documents at distance 0 form classes, of which one document each is joined
+    (``class_join``); pairs of classes, and each class with itself, are then spread to all members. Members are held in
+    blocks, and pairs of blocks shuffled, so that neither a large class nor its pairs meet in one task.
+
+    Null identifiers or texts, and texts without words, are in no pair. Rows that share an identifier are one document: they
+    aren't paired with each other, and a pair's similarity is the highest of its rows. An empty table gives an empty
+    table. Other columns are ignored.
+    """
+    members, pairs = class_join(docs, n, threshold, levels, text, id_)
+    # Only documents of several classes, whose rows differ, can be in a pair twice.
+    member = members.groupBy("id").agg(F.collect_list("class").alias("c")).select("id", (F.size("c") > 1).alias("many"), F.explode("c").alias("class"))
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).alias("block")
+    blocks = written(member.join(sizes, "class").groupBy("class", block).agg(F.collect_list(F.struct("id", "many")).alias("m")))
+    x, y = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"{c}_block"), F.col("m").alias(f"{c}_m")) for c in "xy")
+    other = pairs.join(x, "x").join(y, "y").select("x_m", "y_m", "jaccard", F.lit(False).alias("own"))
+    same = x.join(y, (F.col("x") == F.col("y")) & (F.col("x_block") <= F.col("y_block")))
+    same = same.select("x_m", "y_m", F.lit(1.0).alias("jaccard"), (F.col("x_block") == F.col("y_block")).alias("own"))
+    spread = other.unionByName(same).repartition(partitions(docs.sparkSession))
+    spread = spread.select(F.explode("x_m").alias("a"), "y_m", "jaccard", "own").select("a", F.explode("y_m").alias("b"), "jaccard", "own")
+    spread = spread.where((F.col("a.id") < F.col("b.id")) | (~F.col("own") & (F.col("a.id") > F.col("b.id"))))
+    spread = spread.select(F.least("a.id", "b.id").alias("doc_a"), F.greatest("a.id", "b.id").alias("doc_b"), "jaccard", (F.col("a.many") | F.col("b.many")).alias("many"))
+    if not blocks.where(F.exists("m", lambda m: m["many"])).limit(1).count():
+        return spread.drop("many")
+    twice = spread.where("many").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return spread.where("NOT many").drop("many").unionByName(twice)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node of the pairs (``a``, ``b``).
 

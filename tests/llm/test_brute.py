@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from tessel.llm import chat, decontaminate, html_extract, ngram_join, quality, token_counts, wavelet
+from tessel.llm import chat, decontaminate, html_extract, ngram_join, quality, queries, token_counts, wavelet
 from tessel.llm.tokens import VOCABULARY, Coder, encoding
 
 
@@ -49,6 +49,22 @@ def test_jaccard_join_of_documents(spark, small_dir):
     assert brute.groups([(r.doc_a, r.doc_b) for r in got]) == brute.groups(brute.jaccard_pairs(rows, ngram_join.THRESHOLD))
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_all_jaccard_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_copies(5)
+    rows += [(100 + i, t) for i, t in rows[:30]] + [(200 + i, rows[0][1]) for i in range(9)]
+    rows += [(rows[1][0], rows[0][1]), (rows[1][0], rows[1][1])]  # an identifier of two texts
+    got = ngram_join.all_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), levels=(4, 2, 1)).collect()
+    want = brute.jaccard_pairs(rows, ngram_join.THRESHOLD)
+    assert len(got) == len(want) and {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == want
+
+
+def test_query_has_all_pairs(spark, small_dir):
+    got = {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in queries.op4_ngram_join(spark, small_dir).collect()}
+    assert got == brute.jaccard_pairs(documents(spark, small_dir), ngram_join.THRESHOLD)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(50)]
