@@ -12,13 +12,15 @@ from tessel.llm.frames import Packed, trimmed
 from tessel.llm.tokens import lots
 
 Q = 10  # characters of a gram
-SEGMENT, STRIDE = 80, 40  # characters of a benchmark segment, and from one to the next
+SEGMENT, STRIDE = 80, 5  # characters of a benchmark segment, and from one to the next: at most the edits allowed
 EDITS = 0.07  # edits allowed, as a share of a segment's characters
 BAND = 16  # diagonals from one band to the next; each reaches over into the next by the edits allowed
+PART = SEGMENT - STRIDE  # a verbatim part of an item is found from so many characters on, wherever it begins
 LEAST = 24  # shorter items are no evidence
 #: Characters of benchmark that workers hold at once; a larger benchmark is taken in several passes over the documents.
 HELD = 4_000_000
 BITS = 22
+ONCE = 2_000_000  # hits in segments that are counted at once
 
 
 @dataclass
@@ -27,13 +29,14 @@ class Index:
 
     items: list
     of: object  # a segment's item
-    chars: list  # a segment's folded characters
+    chars: object  # the items' folded characters, one after another
+    start: object  # where a segment begins in them, in order
+    size: object  # a segment's characters
     edits: object
     need: object  # grams that a region must share with the segment
     grams: object  # distinct gram hashes, sorted
-    first: object  # where a gram's places begin in the next two
-    seg: object
-    off: object
+    first: object  # where a gram's places begin in the next
+    place: object  # where a gram stands in the items' characters
     seen: object  # bitmap over the hashes' top bits
 
 
@@ -76,7 +79,7 @@ def gram_hashes(chars):
 def index_of(items: list[tuple], table) -> Index:
     import numpy as np
 
-    kept, of, chars, edits, need, hashes, seg, off = [], [], [], [], [], [], [], []
+    kept, of, chars, start, size, edits, need, hashes, place, total = [], [], [], [], [], [], [], [], [], 0
     for item, text in items:
         c = folded(text or "", table)
         if len(c) < LEAST:
@@ -84,28 +87,30 @@ def index_of(items: list[tuple], table) -> Index:
         starts = list(range(0, max(1, len(c) - SEGMENT + 1), STRIDE))
         if len(c) > SEGMENT and starts[-1] != len(c) - SEGMENT:
             starts.append(len(c) - SEGMENT)
-        kept.append(item)
+        n = min(SEGMENT, len(c))
+        e = int(EDITS * n)
+        while n + 1 - Q * (e + 1) < 1:  # fewer edits where the lemma would ask for nothing
+            e -= 1
         for s in starts:
-            part = c[s : s + SEGMENT]
-            n = len(part)
-            e = int(EDITS * n)
-            while n + 1 - Q * (e + 1) < 1:  # fewer edits where the lemma would ask for nothing
-                e -= 1
-            h = gram_hashes(part)
-            hashes.append(h)
-            seg.append(np.full(len(h), len(of)))
-            off.append(np.arange(len(h)))
-            of.append(len(kept) - 1)
-            chars.append(part)
+            of.append(len(kept))
+            start.append(total + s)
+            size.append(n)
             edits.append(e)
             need.append(n + 1 - Q * (e + 1))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        kept.append(item)
+        chars.append(c)
+        h = gram_hashes(c)
+        hashes.append(h)
+        place.append(total + np.arange(len(h)))
+        total += len(c)
+    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    h = cat(hashes, np.uint64)
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << BITS, bool)
     seen[(grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    cat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-    return Index(kept, np.array(of), chars, np.array(edits), np.array(need), grams, np.append(first, len(h)), cat(seg), cat(off), seen)
+    whole = lambda x: np.array(x, np.int64)
+    return Index(kept, whole(of), cat(chars, np.uint32), whole(start), whole(size), whole(edits), whole(need), grams, np.append(first, len(h)), cat(place, np.int64)[order], seen)
 
 
 def regions(index: Index, chars):
@@ -137,15 +142,30 @@ def regions(index: Index, chars):
     if not len(at):
         return none
     n = index.first[g + 1] - index.first[g]
-    place = np.repeat(index.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    seg, diagonal = index.seg[place], np.repeat(at, n) - index.off[place] + SEGMENT  # not negative
-    band, over = np.divmod(diagonal, BAND)
-    also = over < index.edits[seg]
-    width = len(chars) // BAND + SEGMENT
-    keys, counts = np.unique(np.concatenate((seg * width + band, (seg * width + band - 1)[also])), return_counts=True)
-    seg, band = np.divmod(keys, width)
-    enough = counts >= index.need[seg]
-    return seg[enough], band[enough] * BAND - SEGMENT
+    place = index.place[np.repeat(index.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    at = np.repeat(at, n)
+    # The segments that hold a gram are neighbours: from the first that ends after it to the last that begins before it.
+    low = np.searchsorted(index.start + index.size, place + Q)
+    n = np.searchsorted(index.start, place, side="right") - low
+    order = np.argsort(low, kind="stable")
+    at, place, low, n = at[order], place[order], low[order], n[order]
+    # Counted in lots of whole items.
+    item = index.of[low]
+    cut = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+    lot = np.add.reduceat(n, cut).cumsum() // ONCE
+    cut = np.append(cut[np.concatenate(([True], lot[1:] != lot[:-1]))], len(at))
+    width, found = len(chars) // BAND + len(index.chars) // BAND + SEGMENT, []
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        m = n[a:z]
+        seg = np.repeat(low[a:z] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        diagonal = np.repeat(at[a:z] - place[a:z], m) + index.start[seg] + SEGMENT  # not negative
+        band, over = np.divmod(diagonal, BAND)
+        also = over < index.edits[seg]
+        keys, counts = np.unique(np.concatenate((seg * width + band, (seg * width + band - 1)[also])), return_counts=True)
+        seg, band = np.divmod(keys, width)
+        enough = counts >= index.need[seg]
+        found.append((seg[enough], band[enough] * BAND - SEGMENT))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def aligned(index: Index, chars, seg, start):
@@ -153,14 +173,14 @@ def aligned(index: Index, chars, seg, start):
     import numpy as np
 
     best, end = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
-    lens = np.array([len(c) for c in index.chars])
+    lens = index.size
     for n in np.unique(lens[seg]):
         mine = np.flatnonzero(lens[seg] == n)
         for lot in np.array_split(mine, -(-len(mine) // 4096)):
             e = int(index.edits[seg[lot]].max())
             width = BAND + 3 * e + 1
             base = start[lot] - e
-            pattern = np.stack([index.chars[s] for s in seg[lot]])
+            pattern = index.chars[index.start[seg[lot]][:, None] + np.arange(n)]
             place = base[:, None] + np.arange(n + width)
             text = np.where((place >= 0) & (place < len(chars)), chars[np.clip(place, 0, len(chars) - 1)], np.uint32(0x110000))
             slope = np.arange(width)
@@ -197,7 +217,7 @@ def matches(batches: Iterator, shared) -> Iterator:
                     if doc >= len(lot):
                         continue
                     to = int(end[k]) - (int(ends[doc - 1]) if doc else 0)
-                    item, begin, e = int(index.of[seg[k]]), max(0, to - len(index.chars[seg[k]])), int(edits[k])
+                    item, begin, e = int(index.of[seg[k]]), max(0, to - int(index.size[seg[k]])), int(edits[k])
                     was = found[doc].get(item)
                     if was is None:
                         found[doc][item] = {"item": item, "start": begin, "end": to, "edits": e, "segments": {int(seg[k])}}
@@ -235,7 +255,8 @@ def searched(rows: DataFrame, index: Index) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id") -> DataFrame:
     """The benchmark items found in documents: ``id_``, ``item``, ``start``, ``end``, ``edits`` and ``segments``.
 
-    Items are cut into overlapping segments. Shared grams are counted in overlapping bands of diagonals over whole texts; a
+    Items are cut into overlapping segments, which begin so densely that every verbatim part of ``PART`` = 75 characters or more
+    is found, wherever it begins. Shared grams are counted in overlapping bands of diagonals over whole texts; a
     band is retained if it has as many as the q-gram lemma asks of a match within the segment's edit budget, and the segment
     is then aligned within the band. [start, end) spans the item's aligned segments, in characters of the text;
     ``edits`` is the least over its segments and ``segments`` how many of them were found. Letter case and the kind of white

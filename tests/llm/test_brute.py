@@ -148,6 +148,21 @@ def test_decontamination(spark, seed):
         assert 0 <= r.start < r.end <= len(docs[r.doc_id][1]) + 1
 
 
+def test_every_part_of_an_item_is_found():
+    """A verbatim part of PART characters from any place on, amid foreign text, and none where the text is foreign."""
+    rng, table = random.Random(4), decontaminate.folding()
+    text = lambda n: "".join(rng.choice("abcdefgh .") for _ in range(n))
+    bench = [(k, text(n)) for k, n in enumerate((75, 79, 81, 93, 133, 250, 394))]
+    index = decontaminate.index_of(bench, table)
+    for k, item in bench:
+        for at in range(len(item) - 74):
+            chars = decontaminate.folded("".join(rng.choice("uvwxyz ") for _ in range(90)) + item[at : at + 75] + "".join(rng.choice("uvwxyz ") for _ in range(90)), table)
+            seg, start = decontaminate.regions(index, chars)
+            edits, _ = decontaminate.aligned(index, chars, seg, start)
+            assert {int(x) for x in index.of[seg[edits <= index.edits[seg]]]} == {k}, (k, at)
+    assert not len(decontaminate.regions(index, decontaminate.folded(text(2000), table))[0])
+
+
 def test_decontamination_in_passes(spark, monkeypatch):
     docs, bench = planted(3)
     frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
