@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import gc
 import sys
 import tempfile
 import types
@@ -12,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether a query's shuffle files are deleted at its end, rather than when the driver comes to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Packed:
     """A frame with every input column in one struct, so that an operator may name its own columns freely.
 
@@ -48,9 +54,11 @@ def find(names: list[str], name: str) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where the session has none, one made here for local use."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session without one gets a folder made here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -59,15 +67,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` from a table written in the shared folder: it cuts lineage and outlives the loss of any executor.
 
-    Then the driver collects its garbage, upon which executors delete the shuffle files of what is written.
+    Its shuffle files go as soon as the table is there; the table goes with ``release`` or at the driver's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(removed, spark, path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    atexit.register(removed, spark, path)
     return out
 
 
@@ -97,10 +109,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(task):
+    """A generator of Arrow batches that gives its memory back to the machine at its end: workers live on, and would keep it."""
+
+    @functools.wraps(task)
+    def run(*args):
+        yield from task(*args)  # its frame, and all it refers to, is gone at the next line
+        trimmed()
+
+    return run
+
+
 def trimmed() -> None:
-    """Gives memory that a finished task has freed back to the machine: workers live on, and would keep it."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 

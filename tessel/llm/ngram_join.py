@@ -7,17 +7,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed, partitions, release, trimmed, written
+from tessel.llm.frames import Packed, lean, partitions, release, written
 
 #: Words of a gram, and the least Jaccard similarity of a pair.
 N, THRESHOLD = 3, 0.55
 #: One document in so many becomes a pivot, from one level of the recursion to the next. At the last each one left is. As each
 #: level has eight times the pivots of the one before, a cluster of any size is settled by few, and sent to few regions.
 LEVELS = (512, 64, 8, 1)
-#: Rows up to which a table of keys, and one of pivots' grams, is sent to every worker rather than shuffled: at most some 100 MB.
-SENT, SENT_GRAMS = 2_000_000, 200_000
-#: Members of a class, about, that are spread over its pairs at once.
-BLOCK = 1000
+#: Rows up to which a table of keys, and one of pivots' grams, is sent to every worker rather than shuffled: at most some 50 MB.
+SENT, SENT_GRAMS = 500_000, 200_000
+#: Members of a class, about, that are spread over its pairs at once, and of a cell that are held at once.
+BLOCK, CELL = 1000, 1500
+#: Bits of a signature, from which an upper bound of two documents' overlap follows.
+SIGNATURE = 2048
+#: What a row is in a block of a region: one of its members; one that members are joined with; the pivot, for distances only.
+INSIDE, OUTSIDE, ASIDE = 0, 1, 2
 
 
 def gram_sets(texts: list[str], n: int) -> list:
@@ -68,27 +72,58 @@ def gram_sets(texts: list[str], n: int) -> list:
     return out
 
 
+@lean
 def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
-    """Halves of all gram hashes, divided among ``parts``: for each lot of documents and part, the documents and their grams."""
+    """Halves of gram hashes, divided among ``parts``: for each lot of documents and part, what other lots may share.
+
+    Grams of several documents of a lot are known to be shared; they are sent once, in ``common``, and counted in ``known``. So
+    a gram of very many documents is sent as often as there are lots. Grams of one document of the lot are in ``grams``, ``counts``
+    of them for each of ``keys``.
+    """
     import numpy as np
     import pyarrow as pa
 
     from tessel.llm.tokens import lots
 
-    names = ["part", "keys", "sizes", "counts", "grams"]
-    kinds = [pa.int32(), *[pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]]
+    names = ["part", "keys", "sizes", "known", "counts", "grams", "common"]
+    kinds = [pa.int32(), *[pa.list_(t) for t in (pa.int64(), *[pa.int32()] * 5)]]
+
+    def half(g):
+        return (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def divided(part):
+        return np.searchsorted(part, np.arange(parts + 1))
 
     def out(keys, sets):
         sizes = np.array([len(s) for s in sets], np.int32)
         grams, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        part = (grams % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        part, doc, grams = part[order], doc[order], (grams[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        order = np.argsort(grams, kind="stable")
+        grams, doc = grams[order], doc[order]
+        same = grams[1:] == grams[:-1]
+        often = np.append(same, False) | np.append(False, same)
+        known = np.bincount(doc[often], minlength=len(sets)).astype(np.int32)
+        common = grams[often & ~np.append(False, same)]
+        grams, doc = grams[~often], doc[~often]
+        # Every document is in some part, for what is known of it.
+        part = np.concatenate((grams % np.uint64(parts), keys.view(np.uint64) % np.uint64(parts))).astype(np.int32)
+        doc, mark = np.concatenate((doc, np.arange(len(sets)))), np.repeat([0, 1], [len(grams), len(sets)])
+        grams = np.concatenate((half(grams), np.zeros(len(sets), np.int32)))
+        order = np.lexsort((mark, doc, part))
+        part, doc, mark, grams = part[order], doc[order], mark[order], grams[order]
+        where = (common % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        common, cut, also = half(common[order]), divided(part), divided(where[order])
         columns = [[] for _ in names]
-        for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
-            own, counts = np.unique(doc[a:b], return_counts=True)
-            for c, v in zip(columns, (int(part[a]), keys[own], sizes[own], counts.astype(np.int32), grams[a:b]), strict=True):
+        for p in range(parts):
+            a, z = cut[p], cut[p + 1]
+            if a == z and also[p] == also[p + 1]:
+                continue
+            own, first = np.unique(doc[a:z], return_index=True)
+            home = np.zeros(len(own), np.int32)
+            if z > a:
+                home = np.add.reduceat(mark[a:z], first).astype(np.int32)
+            counts = np.diff(np.append(first, z - a)).astype(np.int32) - home
+            for c, v in zip(columns, (p, keys[own], sizes[own], known[own] * home, counts, grams[a:z][mark[a:z] == 0], common[also[p] : also[p + 1]]), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -108,42 +143,52 @@ def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
                 pa.default_memory_pool().release_unused()
     if size:
         yield out(np.array(keys), sets)
-    keys = sets = None
-    trimmed()
 
 
+@lean
 def met(batches: Iterator) -> Iterator:
-    """For each document, how many of its grams in this part another document has too."""
+    """For each document, how many of its grams in these parts another document has too; rows come sorted by part."""
     import numpy as np
     import pyarrow as pa
 
-    held = [[], [], [], []]
+    def counted(held):
+        grams, keys, sizes, known, counts, common = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in held)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        same = grams[1:] == grams[:-1]
+        there = np.append(same, False) | np.append(False, same)
+        if len(common):
+            common = np.unique(common)
+            at = np.searchsorted(common, grams)
+            at[at == len(common)] = 0
+            there |= common[at] == grams
+        shared = np.zeros(len(grams) + 1, np.int64)
+        shared[order] = there
+        ends = np.cumsum(counts)
+        total = np.append(0, np.cumsum(shared[:-1]))
+        n = known + total[ends] - total[ends - counts]
+        some = np.flatnonzero(n)
+        for a in range(0, len(some), 100_000):
+            at = some[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(sizes[at], pa.int32()), pa.array(n[at], pa.int32())], names=["key", "size", "shared"])
+
+    held, part = [[] for _ in range(6)], None
     for b in batches:
-        part = b.column("part").to_numpy().astype(np.uint64)
-        grams = b.column("grams")
-        each = np.diff(grams.offsets.to_numpy())
-        held[0].append((np.repeat(part, each) << np.uint64(32)) | grams.flatten().to_numpy().view(np.uint32))
-        for k, c in enumerate(("keys", "sizes", "counts")):
-            held[k + 1].append(b.column(c).flatten().to_numpy())
-    if not held[0]:
-        return
-    grams, keys, sizes, counts = (np.concatenate(x) for x in held)
-    if not len(grams):
-        return
-    order = np.argsort(grams, kind="stable")
-    grams = grams[order]
-    same = grams[1:] == grams[:-1]
-    shared = np.zeros(len(grams), np.int32)
-    shared[order] = np.append(same, False) | np.append(False, same)
-    n = np.add.reduceat(shared, np.cumsum(counts) - counts)
-    some = np.flatnonzero(n)
-    for a in range(0, len(some), 100_000):
-        at = some[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(sizes[at].astype(np.int32)), pa.array(n[at].astype(np.int32))], names=["key", "size", "shared"])
-    held = grams = order = shared = None
-    trimmed()
-
-
+        p = b.column("part").to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
+        for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True):
+            if p[a] != part:
+                if part is not None:
+                    yield from counted(held)
+                held, part = [[] for _ in range(6)], p[a]
+            own = b.slice(a, z - a)
+            for k, c in enumerate(("grams", "keys", "sizes", "known", "counts", "common")):
+                held[k].append(own.column(c).flatten().to_numpy())
+    if part is not None:
+        yield from counted(held)
+
+
+@lean
 def with_grams(batches: Iterator, n: int) -> Iterator:
     import hashlib
 
@@ -189,6 +234,38 @@ def overlaps(grams, offsets, flat):
     return there[offsets[1:]] - there[offsets[:-1]]
 
 
+@lean
+def signed(batches: Iterator) -> Iterator:
+    """Documents with signatures: which of ``SIGNATURE`` classes of hashes their grams are in."""
+    import numpy as np
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
+            offsets, flat = lists(b, "grams")
+            bits = np.zeros((b.num_rows, SIGNATURE), bool)
+            bits[np.repeat(np.arange(b.num_rows), np.diff(offsets)), (flat.view(np.uint64) % np.uint64(SIGNATURE)).astype(np.int64)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("size"), pa.array(np.diff(offsets), pa.int32()), packed], names=["key", "size", "n", "bits"])
+
+
+def least_distance(near: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``near`` with ``least``, a lower bound of its pairs' distance.
+
+    Each bit in which signatures differ is a gram that only one of both has, which bounds their overlap from above.
+    """
+    for side in ("key", "pivot"):
+        own = signatures.select(F.col("key").alias(side), F.struct("size", "n", "bits").alias(f"{side}_s"))
+        near = near.join(own, side)
+    x, y = F.col("pivot_s"), F.col("key_s")
+    apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    both = F.least(x["n"], y["n"], (x["n"] + y["n"] - apart) / 2)
+    return near.select("pivot", "key", (1 - both / (x["size"] + y["size"] - both)).alias("least"))
+
+
+@lean
 def distances(batches: Iterator) -> Iterator:
     """Distances of documents to the pivot of their region; rows come sorted by pivot, the pivot's own row first."""
     import numpy as np
@@ -208,64 +285,142 @@ def distances(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(key), pa.array(d)], names=["pivot", "key", "d"])
 
 
-def joined(batches: Iterator, r: float) -> Iterator:
-    """Pairs of a region: its cell's members, which come first, against members and window."""
+class Block:
+    """Members of a cell, and how many documents each is linked to."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.keys, self.grams, self.sizes, self.mults, self.d, self.n = [], [], [], [], [], []
+        self.root: list[int] = []
+        self.pivot_grams, self.pivot_size = np.zeros(0, np.int64), 0
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def union(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.root[max(i, j)] = min(i, j)
+
+
+@lean
+def joined(batches: Iterator, r: float, links: bool) -> Iterator:
+    """The join of regions: members of a block of the cell, which come first, against members, other blocks and window.
+
+    Pairs (x, y, jaccard), or, with ``links``, rows (x, y, n): x has n more links, and is in one group with y.
+    """
     import numpy as np
     import pyarrow as pa
 
-    pivot, cell = None, []
+    kinds = (pa.int64(), pa.int64(), pa.int64() if links else pa.float64())
+
+    def batch(x, y, v):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((x, y, v), kinds, strict=True)], names=["x", "y", "v"])
+
+    def rest(cell: Block):
+        return batch(cell.keys, [cell.keys[cell.find(i)] for i in range(len(cell.keys))], cell.n)
+
+    here, cell = None, None
     for b in batches:
-        p, key, sizes, d = (b.column(c).to_numpy() for c in ("pivot", "key", "size", "d"))
-        home = b.column("home").fill_null(-1).to_numpy()
-        settled = b.column("home").is_valid().to_numpy(zero_copy_only=False)
-        offsets, flat = lists(b, "grams")
+        p, part, key, sizes, mults, role = (b.column(c).to_numpy() for c in ("pivot", "block", "key", "size", "mult", "role"))
         found = [[], [], []]
-        cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+        offsets, flat = lists(b, "grams")
+        cut = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (part[1:] != part[:-1])))) if len(p) else []
         for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True):
-            if p[a] != pivot:
-                pivot, cell = p[a], []
-            mine = settled[a:z] & (home[a:z] == pivot)
-            fresh = len(cell)
-            cell += [(int(key[i]), np.sort(flat[offsets[i] : offsets[i + 1]]), int(sizes[i]), float(d[i])) for i in a + np.flatnonzero(mine)]
-            # A pair of two cells is given by that of the smaller pivot.
-            outer = a + np.flatnonzero(~mine & (~settled[a:z] | (home[a:z] > pivot)))
-            rows = np.concatenate((a + np.flatnonzero(mine), outer))
-            if not len(rows):
+            if (p[a], part[a]) != here:
+                if links and cell:
+                    yield rest(cell)
+                here, cell = (p[a], part[a]), Block()
+                # The pivot's own row is the first.
+                cell.pivot_grams, cell.pivot_size = np.sort(flat[offsets[a] : offsets[a + 1]]), sizes[a]
+                if role[a] == ASIDE:
+                    a += 1
+            if a == z:
                 continue
-            part = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in rows])
-            at = np.concatenate(([0], np.cumsum([offsets[i + 1] - offsets[i] for i in rows])))
-            for k, (x, grams, size, dx) in enumerate(cell):
-                near = np.abs(d[rows] - dx) <= r + 1e-9  # by the triangle inequality no other row can be a partner
+            size, at, flats = sizes[a:z], offsets[a : z + 1] - offsets[a], flat[offsets[a] : offsets[z]]
+            both = overlaps(cell.pivot_grams, at, flats)
+            d = 1 - both / np.maximum(1, size + cell.pivot_size - both)
+            fresh, mine = len(cell.keys), np.flatnonzero(role[a:z] == INSIDE)
+            for i in mine:
+                cell.keys.append(int(key[a + i]))
+                cell.grams.append(np.sort(flats[at[i] : at[i + 1]]))
+                cell.sizes.append(int(size[i]))
+                cell.mults.append(int(mults[a + i]))
+                cell.d.append(float(d[i]))
+                cell.n.append(0)
+                cell.root.append(len(cell.root))
+            n, other = np.zeros(z - a, np.int64), np.full(z - a, -1, np.int64)
+            outer = role[a:z] == OUTSIDE
+            for k in range(len(cell.keys)):
+                near = np.abs(d - cell.d[k]) <= r + 1e-9  # by the triangle inequality no other row can be a partner
                 if k >= fresh:
-                    near[: k - fresh + 1] = False  # members before it have met it
-                if not near.any():
+                    near[mine[: k - fresh + 1]] = False  # members before it have met it
+                at_ = np.flatnonzero(near)
+                if not len(at_):
                     continue
-                both = overlaps(grams, at, part)
-                j = both / np.maximum(1, sizes[rows] + size - both)
-                for i in np.flatnonzero(near & (1 - j <= r + 1e-9)):
-                    found[0].append(x)
-                    found[1].append(int(key[rows[i]]))
-                    found[2].append(float(j[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["x", "y", "jaccard"])
-
-
-def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame:
-    """Pairs (x, y, jaccard) within distance ``r``, of documents with ``key``, ``size`` and ``grams`` from the rarest on.
+                if len(at_) * 2 < len(d):
+                    lens = at[at_ + 1] - at[at_]
+                    begins = np.append(0, np.cumsum(lens))
+                    both = overlaps(cell.grams[k], begins, flats[np.repeat(at[at_] - begins[:-1], lens) + np.arange(begins[-1])])
+                else:
+                    both = overlaps(cell.grams[k], at, flats)[at_]
+                j = both / np.maximum(1, size[at_] + cell.sizes[k] - both)
+                good = 1 - j <= r + 1e-9
+                at_, j = at_[good], j[good]
+                if not len(at_):
+                    continue
+                if not links:
+                    for f, v in zip(found, (np.full(len(at_), cell.keys[k]), key[a:z][at_], j), strict=True):
+                        f.append(v)
+                    continue
+                cell.n[k] += int(mults[a:z][at_].sum())
+                n[at_] += cell.mults[k]
+                for i in np.unique(other[at_][other[at_] >= 0]):
+                    cell.union(k, int(i))
+                other[at_] = k
+                for i in at_[~outer[at_]]:
+                    cell.union(k, fresh + int(np.searchsorted(mine, i)))
+            if links:
+                for m, i in enumerate(mine):
+                    cell.n[fresh + m] += int(n[i])
+                there = np.flatnonzero(outer & (n > 0))
+                yield batch(key[a:z][there], [cell.keys[k] for k in other[there]], n[there])
+        if found[0]:
+            yield batch(*(np.concatenate(f) for f in found))
+    if links and cell:
+        yield rest(cell)
+
+
+def region_join(core: DataFrame, r: float, levels: tuple[int, ...], links: bool = False) -> DataFrame:
+    """Pairs (x, y, v) within distance ``r``, of documents with ``key``, ``size``, ``mult`` and ``grams`` from the rarest on.
+
+    ``v`` is the similarity. With ``links`` it is a part of x's number of links instead, and the rows' pairs are only so many
+    that they connect the same documents: the result grows with the regions, not with the pairs.
 
     At each level some documents are pivots. A document within ``radius`` of a pivot belongs to the cell of its nearest one
     and is settled. By the triangle inequality its partners lie within the cell's radius and ``r`` of that pivot: this
-    window is replicated to the cell's region, and the region joined. What isn't settled goes on to the next level; at
-    the last every document is the pivot of a cell of its own.
+    window is replicated to the cell's region, and the region joined, a block of the cell's members at a time. What isn't
+    settled goes on to the next level; at the last every document is the pivot of a cell of its own.
 
-    A document close enough to a pivot to matter shares one of both's rarest grams (the prefix bound), so that distances are
-    worked out only there; all other documents are farther.
+    A document close enough to a pivot to matter shares one of both's rarest grams (the prefix bound), for which the radius
+    has to leave some similarity; and their signatures don't differ in too many bits. Grams are sent only for such pairs.
     """
     if not levels or levels[-1] != 1:
         raise ValueError("at the last level every document must be a pivot: levels end with 1")
     parts = partitions(core.sparkSession)
+    signatures = written(core.select("key", "size", "grams").mapInArrow(signed, "key long, size int, n int, bits array<long>"))
     out = None
+
+    def sent(rows: DataFrame, *order) -> DataFrame:
+        """Rows with their grams, sorted in their regions with the pivot's own row first."""
+        full = core.select("key", "size", "mult", "grams").join(small(rows), "key")
+        keys = [c for c in ("pivot", "block") if c in rows.columns]
+        return full.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("key") != F.col("pivot"), *order)
+
     for number, every in enumerate(levels):
-        radius = 0.0 if every == 1 else r / 2
+        radius = 0.0 if every == 1 else min(r, 1 - r) / 2
         least = 1 - radius - r
         # Grams that are in no other document come before those of the array, and take their places in the prefix.
         length = F.size("grams") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
@@ -277,45 +432,58 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...]) -> DataFrame
         if every == 1:
             close = close & (F.col("key") > F.col("pivot"))  # either is the other's pivot
         near = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).select("pivot", "key").distinct()
-        near = written(near)
+        near = written(least_distance(near, signatures).where(F.col("least") <= radius + r + 1e-9))
         selves = near.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))
-        both = core.select("key", "size", "grams").join(small(near.unionByName(selves)), "key")
-        ordered = both.repartition(parts, "pivot").sortWithinPartitions("pivot", F.col("key") != F.col("pivot"))
-        d = ordered.select("pivot", "key", "size", "grams").mapInArrow(distances, "pivot long, key long, d double").where(F.col("d") <= radius + r + 1e-9)
         if every == 1:
-            pairs = d.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("x"), F.col("key").alias("y"), (1 - F.col("d")).alias("jaccard"))
+            region = near.select("pivot", "key").unionByName(selves)
+            region = region.select("pivot", F.lit(0).alias("block"), "key", F.when(F.col("key") == F.col("pivot"), INSIDE).otherwise(OUTSIDE).alias("role"))
+            done = [near]
         else:
-            d = written(d)
-            homes = d.where(F.col("d") <= radius + 1e-9).groupBy("key").agg(F.min(F.struct("d", "pivot")).alias("m"))
-            homes = written(homes.select("key", F.col("m.pivot").alias("home"), F.col("m.d").alias("home_d")))
-            reach = homes.groupBy(F.col("home").alias("pivot")).agg((F.max("home_d") + r).alias("reach"))
-            region = d.join(reach, "pivot").where(F.col("d") <= F.col("reach") + 1e-9).join(homes.select("key", "home"), "key", "left")
-            region = core.select("key", "size", "grams").join(small(written(region)), "key")
-            inside = F.coalesce(F.col("home") == F.col("pivot"), F.lit(False))
-            region = region.repartition(parts, "pivot").sortWithinPartitions("pivot", (~inside))
-            pairs = region.select("pivot", "key", "size", "d", "home", "grams").mapInArrow(lambda it: joined(it, r), "x long, y long, jaccard double")
+            maybe = near.where(F.col("least") <= radius + 1e-9).select("pivot", "key")
+            d = sent(maybe.unionByName(maybe.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))))
+            d = d.select("pivot", "key", "size", "grams").mapInArrow(distances, "pivot long, key long, d double").where(F.col("d") <= radius + 1e-9)
+            d = d.unionByName(selves.select("pivot", "key", F.lit(0.0).alias("d")))
+            homes = d.groupBy("key").agg(F.min(F.struct("d", "pivot")).alias("m")).select("key", F.col("m.pivot").alias("home"), F.col("m.d").alias("home_d"))
+            homes = written(homes)
+            cells = homes.groupBy(F.col("home").alias("pivot")).agg((F.max("home_d") + r).alias("reach"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+            region = near.unionByName(selves.select("pivot", "key", F.lit(0.0).alias("least")))
+            region = region.join(cells, "pivot").where(F.col("least") <= F.col("reach") + 1e-9).join(homes.select("key", "home"), "key", "left")
+            own = F.coalesce(F.col("home") == F.col("pivot"), F.lit(False))
+            # A pair of two cells is given by that of the smaller pivot, one of two blocks by the smaller block.
+            region = region.where(F.col("home").isNull() | (F.col("home") >= F.col("pivot")) | (F.col("key") == F.col("pivot")))
+            mine = F.when(own, F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+            region = region.select("pivot", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            region = region.where(F.col("mine").isNull() | (F.col("block") <= F.col("mine")) | (F.col("key") == F.col("pivot")))
+            role = F.when(F.col("mine") == F.col("block"), INSIDE).when(F.col("mine") < F.col("block"), ASIDE).otherwise(OUTSIDE)
+            region = written(region.select("pivot", "block", "key", role.alias("role")))
+            done = [near, homes, region]
+        rows = sent(region, F.col("role")).select("pivot", "block", "key", "size", "mult", "role", "grams")
+        pairs = written(rows.mapInArrow(lambda it: joined(it, r, links), f"x long, y long, v {'long' if links else 'double'}"))
+        if every != 1:
             left = written(core.join(homes.select("key"), "key", "left_anti"))
-        pairs = written(pairs)
-        release(near, core)
+        release(*done, core)
         if every != 1:
-            release(d, homes)
             core = left
         out = pairs if out is None else out.unionByName(pairs)
+    release(signatures)
     return out
 
 
-def class_join(docs: DataFrame, n: int, threshold: float, levels: tuple[int, ...], text: str, id_: str) -> tuple[DataFrame, DataFrame]:
-    """Members (class, id) of the classes of documents with equal gram sets, and pairs (x, y, jaccard) of other classes.
+def class_join(docs: DataFrame, n: int, threshold: float, levels: tuple[int, ...], text: str, id_: str, links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Identifiers, members (class, id) of the classes of documents with equal gram sets, and the classes' pairs (``region_join``).
 
     Before the join, grams are counted over all documents: only grams of two documents or more can meet, and a document
     with fewer of them than ``threshold`` of its grams has no partner. The others are joined in regions around pivots
     (``region_join``), one document for each class. Every step is exact for 64-bit gram hashes.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
     r, parts = 1 - threshold, partitions(docs.sparkSession)
-    rows = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.xxhash64(id_, text).alias("key"))
-    rows = rows.where("id IS NOT NULL AND text IS NOT NULL")
-    kinds = "part int, keys array<long>, sizes array<int>, counts array<int>, grams array<int>"
-    halves = rows.select("key", "text").mapInArrow(lambda it: scattered(it, n, parts), kinds).repartition(parts, "part")
+    ids = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.xxhash64(id_, text).alias("key")).where("id IS NOT NULL")
+    rows = ids.where("text IS NOT NULL")
+    kinds = "part int, keys array<long>, sizes array<int>, known array<int>, counts array<int>, grams array<int>, common array<int>"
+    # A task takes several parts, one after another, so that it holds but a share of its input.
+    halves = rows.select("key", "text").mapInArrow(lambda it: scattered(it, n, 4 * parts), kinds).repartition(parts, "part").sortWithinPartitions("part")
     shared = halves.mapInArrow(met, "key long, size int, shared int").groupBy("key").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"))
     maybe = written(shared.where(F.col("shared") >= F.lit(threshold) * F.col("size") - 1e-9).select("key"))
     id_type = dict(rows.dtypes)["id"]
@@ -330,25 +498,34 @@ def class_join(docs: DataFrame, n: int, threshold: float, levels: tuple[int, ...
     grams = one.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    core = kept.where(F.size("g") >= F.lit(threshold) * F.col("size") - 1e-9).select("key", "size", F.transform("g", lambda g: g["gram"]).alias("grams"))
-    core = written(core)
+    kept = kept.where(F.size("g") >= F.lit(threshold) * F.col("size") - 1e-9)
+    mults = members.groupBy(F.col("class").alias("key")).agg(F.count("*").alias("mult"))
+    core = written(kept.join(mults, "key").select("key", "size", "mult", F.transform("g", lambda g: g["gram"]).alias("grams")))
     release(one)
-    return members, region_join(core, r, levels)
+    return ids.select("id"), members, region_join(core, r, levels, links)
+
 
+def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """The join as one row per document: ``id_``, ``class_id``, the smallest identifier of its group, and ``n_links``.
 
-def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """As many pairs of ``all_pairs`` as connect the same documents: ``doc_a`` < ``doc_b``, ``jaccard``.
+    Groups are the connected components of all pairs with at least ``threshold`` Jaccard similarity of their sets of word
+    n-grams, and ``n_links`` is the number of a document's pairs, with its copies and all others: every pair is found and
+    counted, though none is listed (``all_pairs`` lists them). A document without a partner is its own class, with 0 links.
 
-    Documents with equal gram sets form classes, and a class is joined by its smallest identifier: that one is paired
-    with each other member, at 1.0, and stands for the class in all other pairs, whose similarity its members share. So
-    the result doesn't grow with the square of the copies; it is for grouping, and leaves out the copies' other pairs.
+    Null identifiers are in no row. Null texts and texts without words have no partner. Rows that share an identifier are one
+    document: its links are those of all its texts, a partner counting once for each pair of differing texts. An empty table
+    gives an empty table. Other columns are ignored.
     """
-    members, pairs = class_join(docs, n, threshold, levels, text, id_)
-    firsts = members.groupBy("class").agg(F.min("id").alias("first"))
-    copies = members.join(firsts, "class").where("id <> first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    named = pairs.join(firsts.select(F.col("class").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("class").alias("y"), F.col("first").alias("b")), "y")
-    named = named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-    return named.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    ids, members, found = class_join(docs, n, threshold, levels, text, id_, links=True)
+    firsts = written(members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("mult")))
+    copies = members.join(firsts, "class").select("class", F.col("first").alias("a"), F.col("id").alias("b"), (F.col("mult") - 1).alias("copies"))
+    ties = found.where("x <> y").join(firsts.select(F.col("class").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("class").alias("y"), F.col("first").alias("b")), "y")
+    groups = components(copies.select("a", "b").unionByName(ties.select("a", "b")))
+    counts = found.groupBy(F.col("x").alias("class")).agg(F.sum("v").alias("n"))
+    n_links = copies.join(counts, "class", "left").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("copies") + F.coalesce("n", F.lit(0))).alias("n_links"))
+    known = n_links.join(groups.select(F.col("node").alias("id"), "root"), "id", "left")
+    out = ids.distinct().join(known, "id", "left")
+    return out.select(F.col("id").alias(id_), F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -362,7 +539,8 @@ def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels:
     aren't paired with each other, and a pair's similarity is the highest of its rows. An empty table gives an empty
     table. Other columns are ignored.
     """
-    members, pairs = class_join(docs, n, threshold, levels, text, id_)
+    _, members, pairs = class_join(docs, n, threshold, levels, text, id_)
+    pairs = pairs.withColumnRenamed("v", "jaccard")
     # Only documents of several classes, whose rows differ, can be in a pair twice.
     member = members.groupBy("id").agg(F.collect_list("class").alias("c")).select("id", (F.size("c") > 1).alias("many"), F.explode("c").alias("class"))
     sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
@@ -409,11 +587,9 @@ def components(pairs: DataFrame) -> DataFrame:
 def dedup_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, levels: tuple[int, ...] = LEVELS, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without those of documents that aren't the smallest identifier of their group.
 
-    Groups are the connected components of ``ngram_pairs``. Rows without an identifier stay, and so do all rows of a
-    document that stays.
+    Groups are those of ``near_groups``. Rows without an identifier stay, and so do all rows of a document that stays.
     """
-    pairs = ngram_pairs(docs, n, threshold, levels, text, id_)
-    groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = written(groups.where("node <> root").select(F.col("node").alias("gone")))
+    groups = near_groups(docs, n, threshold, levels, text, id_)
+    gone = written(groups.where(F.col(id_) != F.col("class_id")).select(F.col(id_).alias("gone")))
     p = Packed(docs, id_)
     return p.unpack(p.frame.join(small(gone), F.col(id_) == F.col("gone"), "left_anti"))

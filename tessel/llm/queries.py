@@ -19,7 +19,7 @@ def op3_mixing(spark, sf_dir):
 
 
 def op4_ngram_join(spark, sf_dir):
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark, sf_dir):

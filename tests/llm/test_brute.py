@@ -28,28 +28,43 @@ def near_copies(seed, groups=12, most=9):
     return rows
 
 
-@pytest.mark.parametrize("levels", [(1,), (4, 2, 1), (2, 1)])
-@pytest.mark.parametrize("threshold", [0.55, 0.8])
-def test_jaccard_join(spark, levels, threshold):
-    rows = near_copies(len(levels))
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.ngram_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold, levels=levels).collect()}
-    want = brute.jaccard_pairs(rows, threshold)
-    same = {}
-    for i, t in sorted(rows):
-        same.setdefault(brute.grams(t), i)
-    first = {i: same[brute.grams(t)] for i, t in rows}
-    # A class of equal sets is joined by its smallest member, which stands for it elsewhere.
-    want = {(a, b): s for (a, b), s in want.items() if (first[a] == first[b] == a) or (first[a] == a and first[b] == b)}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-
-
-def test_jaccard_join_of_documents(spark, small_dir):
-    rows = documents(spark, small_dir)
-    got = ngram_join.ngram_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert brute.groups([(r.doc_a, r.doc_b) for r in got]) == brute.groups(brute.jaccard_pairs(rows, ngram_join.THRESHOLD))
+def with_copies(seed):
+    rows = near_copies(seed)
+    return rows + [(100 + i, t) for i, t in rows[:30]] + [(200 + i, rows[0][1]) for i in range(9)] + [(300, "two words"), (301, "")]
+
+
+def links_and_groups(rows, threshold, n=3):
+    pairs = brute.jaccard_pairs(rows, threshold, n)
+    root, links = brute.groups(pairs), {i: 0 for i, _ in rows}
+    for p in pairs:
+        for i in p:
+            links[i] += 1
+    return {i: (root.get(i, i), links[i]) for i in links}
+
+
+@pytest.mark.parametrize("levels,cell,threshold,n", [((4, 2, 1), 3, 0.55, 3), ((2, 1), 1500, 0.2, 1)])
+def test_jaccard_join(spark, monkeypatch, levels, cell, threshold, n):
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    rows = with_copies(len(levels))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.near_groups(df, n=n, threshold=threshold, levels=levels).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == links_and_groups(rows, threshold, n)
+
 
+def test_query_has_all_links(spark, small_dir):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op4_ngram_join(spark, small_dir).collect()}
+    assert got == links_and_groups(documents(spark, small_dir), ngram_join.THRESHOLD)
 
-@pytest.mark.parametrize("block", [2, 1000])
+
+@pytest.mark.parametrize("levels,threshold", [((2, 1), 0.3)])
+def test_all_pairs_at_low_thresholds(spark, levels, threshold):
+    rows = near_copies(8)
+    got = ngram_join.all_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), n=1, threshold=threshold, levels=levels).collect()
+    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == brute.jaccard_pairs(rows, threshold, 1)
+
+
+@pytest.mark.parametrize("block", [2])
 def test_all_jaccard_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = near_copies(5)
@@ -60,11 +75,6 @@ def test_all_jaccard_pairs(spark, monkeypatch, block):
     assert len(got) == len(want) and {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == want
 
 
-def test_query_has_all_pairs(spark, small_dir):
-    got = {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in queries.op4_ngram_join(spark, small_dir).collect()}
-    assert got == brute.jaccard_pairs(documents(spark, small_dir), ngram_join.THRESHOLD)
-
-
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(50)]

@@ -117,10 +117,16 @@ def test_passage_inside_lines(spark):
     assert all("number 1 has" not in out[i] and "number 7 has" not in out[i] and f"ending {i}" in out[i] for i in (1, 2, 3))
 
 
-def test_ngram_pairs(docs, none):
-    out = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.ngram_pairs(docs).collect()}
-    assert out == {(1, 2): 1.0, (1, 3): 1.0}
-    assert ngram_join.ngram_pairs(none).count() == 0
+def test_ngram_join(docs, none):
+    out = ngram_join.near_groups(docs)
+    assert out.columns == ["doc_id", "class_id", "n_links"]
+    assert listed(out, *out.columns) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0)]
+    assert ngram_join.near_groups(none).count() == 0
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.all_pairs(docs).collect()} == {(1, 2): 1.0, (1, 3): 1.0, (2, 3): 1.0}
+    assert ngram_join.all_pairs(none).count() == 0
+    for bad in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            ngram_join.near_groups(docs, threshold=bad)
     kept = ngram_join.dedup_near(docs)
     assert kept.columns == docs.columns
     assert listed(kept, "doc_id") == sorted([(1,), (None,), (4,), (None,), (5,), (6,), (7,), (8,)], key=repr)
