@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tessel.llm.frames import Packed
+from tessel.llm.frames import Packed, lean
 
 #: Function words of the four languages of the corpus.
 STOP_WORDS = frozenset(
@@ -30,8 +30,10 @@ BLOCK_TAGS = frozenset(
     section select summary table tbody td textarea tfoot th thead title tr ul video audio iframe object""".split()
 )
 #: Elements whose contents are not text.
-HIDDEN = "script|style|noscript|template|svg|math|head|iframe|object|textarea|select|title"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>", re.S | re.I)
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template svg math head iframe object textarea select title".split()}
+#: A tag's name, and its end if neither quotes nor another tag come before it.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)[^<>\"']*+(>?)")
+STOP = re.compile("[>\"']")
 WORD = re.compile(r"\w+")
 
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.2, 70, 200, 0.1, 0.2
@@ -60,16 +62,36 @@ def blocks(html: str) -> list[tuple[str, int]]:
                 linked += len(" ".join(text.split()))
         parts.append(text)
 
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if m[1]:
+    def ends(mark: str, start: int) -> int:
+        found = html.find(mark, start)
+        return len(html) if found < 0 else found + len(mark)
+
+    # One scan forward: nothing is looked at again after what ends, or would end, a tag has been sought.
+    at = look = 0
+    quotes = True
+    while (lt := html.find("<", look)) >= 0:
+        m, hidden, tag = TAG.match(html, lt), None, ""
+        if m:
+            tag, end = m[2].lower(), m.end()
+            if not m[3]:
+                end, quotes = tag_end(html, lt, end, quotes)
+            if not m[1] and (hidden := HIDDEN.get(tag)):
+                closed = hidden.search(html, end)
+                end = closed.end() if closed else len(html)
+        elif html.startswith("<!--", lt):
+            end = ends("-->", lt + 4)
+        elif html[lt + 1 : lt + 2] in ("!", "?", "/"):
+            end = ends(">", lt + 2)
+        else:
+            look = lt + 1
+            continue
+        if lt > at:
+            add(html[at:lt])
+        at = look = end
+        if hidden:
             close()
         elif tag == "a":
-            in_link = max(0, in_link - 1) if m[2] else 1
+            in_link = max(0, in_link - 1) if m[1] else 1
         elif tag == "br":
             breaks += 1
             parts.append(" ")
@@ -83,6 +105,24 @@ def blocks(html: str) -> list[tuple[str, int]]:
     return found
 
 
+def tag_end(html: str, start: int, at: int, quotes: bool) -> tuple[int, bool]:
+    """Where the tag that begins at ``start`` ends, sought from ``at`` on, and whether quotes still count.
+
+    A quote that is never closed is a slip: the tag then ends at its first ``>``, and quotes count no more on the page. A
+    tag that doesn't end goes on to the page's end.
+    """
+    while quotes and (m := STOP.search(html, at)):
+        if m[0] == ">":
+            return m.end(), True
+        closing = html.find(m[0], m.end())
+        if closing < 0:
+            quotes, at = False, start
+        else:
+            at = closing + 1
+    end = html.find(">", at)
+    return (len(html) if end < 0 else end + 1), quotes
+
+
 def first_pass(text: str, linked: int) -> str:
     """``good``, ``bad``, or undecided: ``short`` or ``near``."""
     n = len(text)
@@ -137,6 +177,7 @@ def extract(html: str) -> tuple[str, int, int]:
     return "\n".join(kept), len(found), len(kept)
 
 
+@lean
 def extracted(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -155,7 +196,7 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Columns are those of ``pages`` without ``html``, and ``text``, ``n_blocks`` and ``n_kept``, which replace input columns of
     those names. Null html gives null text and no blocks; empty html, or a page without a good block, an empty text.
-    Unclosed tags and comments end with the page. Equal rows give equal rows. An empty table gives an empty table.
+    Unclosed tags and comments end with the page; time grows with a page's length, whatever stands in it. Equal rows give equal rows. An empty table gives an empty table.
     """
     p = Packed(pages, html)
     row = p.frame.select(p.frame["row"].dropFields(f"c{p.at[html]}").alias("row") if len(p.names) > 1 else F.struct(F.lit(0).alias("none")).alias("row"), F.col(html).alias("html"))

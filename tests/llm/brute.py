@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from html import unescape
+from html.parser import HTMLParser
 
 
 def grams(text, n=3):
@@ -110,3 +112,65 @@ def best_paths(messages, per_root=1):
         for rank, (s, leaf, path) in enumerate(sorted(found)[:per_root], 1):
             out[tree, r, leaf] = (rank, len(path), -s, path)
     return out
+
+
+def page_blocks(html, block_tags, hidden):
+    """(text, characters in links) of a well-formed page's blocks, from the standard library's events."""
+    events = []
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            events.append(("open", tag))
+
+        handle_startendtag = handle_starttag
+
+        def handle_endtag(self, tag):
+            events.append(("close", tag))
+
+        def handle_data(self, data):
+            events.append(("text", unescape(data)))
+
+        def handle_entityref(self, name):
+            events.append(("text", unescape(f"&{name};")))
+
+        def handle_comment(self, data):
+            events.append(("mark", ""))
+
+    Parser(convert_charrefs=False).feed(html)
+    blocks, inside, link, text, linked, breaks, run = [], None, False, "", 0, 0, ""
+    for kind, value in [*events, ("close", "html")]:
+        if inside:
+            if (kind, value) == ("close", inside):
+                inside = None
+            continue
+        if kind == "text":
+            run += value
+            continue
+        if run.strip():
+            breaks = 0
+            linked += len(" ".join(run.split())) if link else 0
+        text, run = text + run, ""
+        if kind == "open" and value in hidden:
+            inside = value
+        if value == "a":
+            link = kind == "open"
+        if value == "br":
+            breaks, text = breaks + 1, text + " "
+        if inside or value in block_tags or breaks > 1:
+            t = " ".join(text.split())
+            if t:
+                blocks.append((t, min(linked, len(t))))
+            text, linked, breaks = "", 0, 0
+    return blocks
+
+
+def block_label(text, linked, stop_words):
+    words = re.findall(r"\w+", text.lower())
+    share = len([w for w in words if w in stop_words]) / max(1, len(words))
+    if "\u00a9" in text or linked > 0.2 * len(text):
+        return "bad"
+    if len(text) < 70:
+        return "short" if not linked else "bad"
+    if share < 0.1:
+        return "bad"
+    return "good" if share >= 0.2 and len(text) > 200 else "near"

@@ -1,6 +1,7 @@
 """Operators that SQL can't express against plain versions, round trips and held-out accuracy."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -213,6 +214,29 @@ def test_html_blocks():
     assert (n, kept) == (7, 3) and "So it is." in text and "Home" not in text
 
 
+def test_blocks_and_labels_of_random_pages():
+    rng = random.Random(9)
+    words = ["the", "of", "and", "castle", "river", "&amp;", "&copy;", "stone", "is", "to"]
+    some = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    pieces = [
+        lambda: f"<p class=\"a > b\">{some(60)}</p>", lambda: f"<div id='x'>{some(30)}", lambda: "</div>", lambda: f"<a href=\"/{some(2)}\">{some(9)}</a> ", lambda: "<br>", lambda: "<br/>\n",
+        lambda: f"<b>{some(5)}</b>", lambda: f" {some(12)} ", lambda: f"<script>if (a<b) {{ '{some(3)}' }}</script>", lambda: f"<!-- {some(4)} <p> -->", lambda: f"<LI>{some(20)}</LI>", lambda: f"<svg><path/>{some(3)}</svg>", lambda: "<!doctype html>", lambda: " 3 < 4 ",
+    ]
+    for _ in range(400):
+        page = "".join(rng.choice(pieces)() for _ in range(rng.randint(0, 40)))
+        found = html_extract.blocks(page)
+        assert found == brute.page_blocks(page, html_extract.BLOCK_TAGS, html_extract.HIDDEN), page
+        assert [html_extract.first_pass(*b) for b in found] == [brute.block_label(*b, html_extract.STOP_WORDS) for b in found]
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a ", "<a \">\" ", "<p", "<!-", "<!--", "</", "<a '", "<br", "<title>", "</script", "<a href=\"x>"])
+def test_hostile_pages_take_linear_time(part):
+    for end in ("", "'", ">"):
+        page, began = part * (1_000_000 // len(part)) + end, time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 4  # a share of a second each, but for a slow machine
+
+
 @pytest.mark.parametrize("labels", [["short", "good", "near", "near", "bad", "short"], ["near"] * 3, ["bad", "short", "short", "good"], []])
 def test_second_pass_brute(labels):
     def nearest(i):
