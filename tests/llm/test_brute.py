@@ -1,14 +1,17 @@
 """Operators that SQL can't express against plain versions, round trips and held-out accuracy."""
 
+import collections
 import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 import brute
 from tessel.llm import chat, decontaminate, html_extract, ngram_join, quality, queries, token_counts, wavelet
-from tessel.llm.tokens import VOCABULARY, Coder, encoding
+from tessel.llm.tokens import PATTERN, VOCABULARY, Coder, PreTokens, encoding
 
 
 def documents(spark, small_dir):
@@ -91,11 +94,27 @@ def test_token_counts_of_documents(spark, small_dir):
     assert got == {i: len(encoder.encode_ordinary(t)) for i, t in rows}
 
 
+MARKS = [" ", "  ", "\n", "\t", " \n ", "'s", "'re", "'l", "'ll", "don't", "é", "ß", "\xa0", "　", "1", "23", "²", "!?", "a", "Word", "\x1c", "\x00", "\U0001f600", "'", "s", "e"]
+
+
+def random_texts(seed, n=3000):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(MARKS) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_pre_tokens_are_the_patterns_matches():
+    pattern, texts = regex.compile(PATTERN), [*random_texts(2), "x" * 1_000_000, ""]
+    found = PreTokens(texts)
+    spelled = found.spelled(slice(None))
+    want = [pattern.findall(t) for t in texts]
+    assert found.counts.tolist() == [len(w) for w in want] and spelled == [x for w in want for x in w]
+    assert len(set(found.hashes.tolist())) == len(set(spelled))
+    assert token_counts.hashes_of(spelled).tolist() == found.hashes.tolist()
+
+
 def test_coder_is_the_encoder():
-    rng = random.Random(1)
-    marks = [" ", "  ", "\n", "\t", " \n ", "'s", "don't", "é", "ß", " ", "　", "1", "23", "²", "!?", "a", "Word", "\x1c", "\U0001f600", "'"]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    coder, encoder, at = Coder(VOCABULARY, most=500), encoding(VOCABULARY), 0
+    texts = random_texts(1)
+    coder, encoder = Coder(VOCABULARY, most=500), encoding(VOCABULARY)
     for lot in (texts[:1000], texts[1000:1010], texts[1010:]):
         ids, n = coder.encode(lot)
         at = 0
@@ -104,6 +123,17 @@ def test_coder_is_the_encoder():
             at += k
 
 
+def test_keys_are_pre_tokens(spark, small_dir):
+    """What is grouped and joined are the pattern's matches and nothing else."""
+    texts = [t for _, t in documents(spark, small_dir)]
+    pattern = regex.compile(PATTERN)
+    batches = [pa.RecordBatch.from_arrays([pa.array([*texts, None])], names=["text"])]
+    got = collections.Counter()
+    for b in token_counts.distinct(iter(batches)):
+        got.update(dict(zip(b.column("piece").to_pylist(), b.column("n").to_pylist())))
+    assert got == collections.Counter(x for t in texts for x in pattern.findall(t))
+
+
 @pytest.mark.parametrize("n,bits", [(0, 16), (1, 16), (1000, 16), (1 << 20, 4), (600_000, 16)])
 def test_wavelet_matrix(n, bits):
     rng = np.random.default_rng(n)
