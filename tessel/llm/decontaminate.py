@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed, trimmed
+from tessel.llm.frames import Packed, lean
 from tessel.llm.tokens import lots
 
 Q = 10  # characters of a gram
@@ -16,9 +16,8 @@ SEGMENT, STRIDE = 80, 5  # characters of a benchmark segment, and from one to th
 EDITS = 0.07  # edits allowed, as a share of a segment's characters
 BAND = 16  # diagonals from one band to the next; each reaches over into the next by the edits allowed
 PART = SEGMENT - STRIDE  # a verbatim part of an item is found from so many characters on, wherever it begins
-LEAST = 24  # shorter items are no evidence
-#: Characters of benchmark that workers hold at once; a larger benchmark is taken in several passes over the documents.
-HELD = 4_000_000
+#: Characters of benchmark that workers hold at once, in some 22 bytes each; a larger benchmark takes several passes over the documents.
+HELD = 2_000_000
 BITS = 22
 ONCE = 2_000_000  # hits in segments that are counted at once
 
@@ -82,7 +81,7 @@ def index_of(items: list[tuple], table) -> Index:
     kept, of, chars, start, size, edits, need, hashes, place, total = [], [], [], [], [], [], [], [], [], 0
     for item, text in items:
         c = folded(text or "", table)
-        if len(c) < LEAST:
+        if len(c) < Q:
             continue
         starts = list(range(0, max(1, len(c) - SEGMENT + 1), STRIDE))
         if len(c) > SEGMENT and starts[-1] != len(c) - SEGMENT:
@@ -109,8 +108,8 @@ def index_of(items: list[tuple], table) -> Index:
     grams, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << BITS, bool)
     seen[(grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    whole = lambda x: np.array(x, np.int64)
-    return Index(kept, whole(of), cat(chars, np.uint32), whole(start), whole(size), whole(edits), whole(need), grams, np.append(first, len(h)), cat(place, np.int64)[order], seen)
+    whole = lambda x, kind=np.int32: np.array(x, kind)
+    return Index(kept, whole(of), cat(chars, np.uint32), whole(start), whole(size, np.int16), whole(edits, np.int8), whole(need, np.int16), grams, whole(np.append(first, len(h))), cat(place, np.int64)[order].astype(np.int32), seen)
 
 
 def regions(index: Index, chars):
@@ -141,8 +140,8 @@ def regions(index: Index, chars):
     at, g = at[use], g[use]
     if not len(at):
         return none
-    n = index.first[g + 1] - index.first[g]
-    place = index.place[np.repeat(index.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    n = (index.first[g + 1] - index.first[g]).astype(np.int64)
+    place = index.place[np.repeat(index.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
     at = np.repeat(at, n)
     # The segments that hold a gram are neighbours: from the first that ends after it to the last that begins before it.
     low = np.searchsorted(index.start + index.size, place + Q)
@@ -169,11 +168,15 @@ def regions(index: Index, chars):
 
 
 def aligned(index: Index, chars, seg, start):
-    """Least edits of each candidate's segment against the text on its band of diagonals, and where that ends."""
+    """Least edits of each candidate's segment against the text on its band of diagonals, and where that begins and ends.
+
+    Costs carry the diagonal on which their path began, so that of equal ones the earliest counts.
+    """
     import numpy as np
 
-    best, end = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
-    lens = index.size
+    best, begin, end = (np.zeros(len(seg), np.int64) for _ in range(3))
+    lens = index.size.astype(np.int64)
+    one = 1 << 20  # an edit, beside which diagonals don't count
     for n in np.unique(lens[seg]):
         mine = np.flatnonzero(lens[seg] == n)
         for lot in np.array_split(mine, -(-len(mine) // 4096)):
@@ -183,19 +186,21 @@ def aligned(index: Index, chars, seg, start):
             pattern = index.chars[index.start[seg[lot]][:, None] + np.arange(n)]
             place = base[:, None] + np.arange(n + width)
             text = np.where((place >= 0) & (place < len(chars)), chars[np.clip(place, 0, len(chars) - 1)], np.uint32(0x110000))
-            slope = np.arange(width)
-            cost = np.zeros((len(lot), width), np.int64)  # free to begin on any diagonal of the band
+            slope = np.arange(width) * one
+            cost = np.tile(np.arange(width), (len(lot), 1))  # free to begin on any diagonal of the band
             for i in range(n):
-                step = cost + (text[:, i : i + width] != pattern[:, i : i + 1])
-                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+                step = cost + (text[:, i : i + width] != pattern[:, i : i + 1]) * one
+                step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + one)
                 cost = np.minimum.accumulate(step - slope, axis=1) + slope
             d = cost.argmin(1)
-            best[lot], end[lot] = cost[np.arange(len(lot)), d], base + d + n
-    return best, end
+            edits, first = np.divmod(cost[np.arange(len(lot)), d], one)
+            best[lot], begin[lot], end[lot] = edits, base + first, base + d + n
+    return best, begin, end
 
 
-def matches(batches: Iterator, shared) -> Iterator:
-    """Every document with the items found in it: item number, start, end, edits and segments."""
+@lean
+def matches(batches: Iterator, shared, at: int) -> Iterator:
+    """Every row with the items found in its text, field number ``at``: item number, start, end, edits and segments."""
     import numpy as np
     import pyarrow as pa
 
@@ -204,35 +209,33 @@ def matches(batches: Iterator, shared) -> Iterator:
     kind = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("segments", pa.int32())]))
     for b in batches:
         out = []
-        for lot in lots(b.column("text").fill_null("")):
+        for lot in lots(b.column("row").field(at).fill_null("")):
             chars = folded("".join(t + gap for t in lot), table)
-            ends = np.cumsum([len(t) + len(gap) for t in lot])
+            sizes = np.fromiter(map(len, lot), np.int64, len(lot))
+            ends = np.cumsum(sizes + len(gap))
             found: list[dict] = [{} for _ in lot]
             seg, start = regions(index, chars)
             if len(seg):
-                edits, end = aligned(index, chars, seg, start)
+                edits, begin, end = aligned(index, chars, seg, start)
                 good = np.flatnonzero(edits <= index.edits[seg])
-                for k in good[np.lexsort((end[good], seg[good]))]:
-                    doc = int(np.searchsorted(ends, end[k] - 1, side="right"))
-                    if doc >= len(lot):
-                        continue
-                    to = int(end[k]) - (int(ends[doc - 1]) if doc else 0)
-                    item, begin, e = int(index.of[seg[k]]), max(0, to - int(index.size[seg[k]])), int(edits[k])
-                    was = found[doc].get(item)
-                    if was is None:
-                        found[doc][item] = {"item": item, "start": begin, "end": to, "edits": e, "segments": {int(seg[k])}}
-                    else:
-                        was["start"], was["end"], was["edits"] = min(was["start"], begin), max(was["end"], to), min(was["edits"], e)
-                        was["segments"].add(int(seg[k]))
+                # Edits at either end may reach into the gap between texts.
+                docs = np.minimum(np.searchsorted(ends, (begin[good] + end[good]) // 2, side="right"), len(lot) - 1)
+                for k, doc in zip(good.tolist(), docs.tolist(), strict=True):
+                    size = int(sizes[doc])
+                    first = int(ends[doc]) - size - len(gap)
+                    a, z = min(max(0, int(begin[k]) - first), size), min(max(0, int(end[k]) - first), size)
+                    item, e = int(index.of[seg[k]]), int(edits[k])
+                    was = found[doc].setdefault(item, {"item": item, "start": a, "end": z, "edits": e, "segments": set()})
+                    was["start"], was["end"], was["edits"] = min(was["start"], a), max(was["end"], z), min(was["edits"], e)
+                    was["segments"].add(int(seg[k]))
             out += [[x | {"segments": len(x["segments"])} for _, x in sorted(f.items())] for f in found]
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, kind)], names=["row", "found"])
-    trimmed()
 
 
 def passes(benchmark: DataFrame, text: str, item: str):
     """Indexes of the benchmark, each small enough to be held by every worker."""
     rows = Packed(benchmark, text, item).frame.select(F.col(item).alias("item"), F.col(text).alias("text"))
-    rows = rows.where(F.length("text") >= LEAST)
+    rows = rows.where(F.length("text") >= Q)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // HELD))
     table = folding()
@@ -244,12 +247,12 @@ def passes(benchmark: DataFrame, text: str, item: str):
 SCHEMA = "array<struct<item:int,start:int,end:int,edits:int,segments:int>>"
 
 
-def searched(rows: DataFrame, index: Index) -> DataFrame:
+def searched(rows: DataFrame, index: Index, at: int) -> DataFrame:
     from pyspark.sql.types import StructField, StructType
 
     shared = rows.sparkSession.sparkContext.broadcast(index)
     found = rows.sparkSession.createDataFrame([], f"found {SCHEMA}").schema["found"].dataType
-    return rows.mapInArrow(lambda it: matches(it, shared), StructType([rows.schema["row"], StructField("found", found)]))
+    return rows.select("row").mapInArrow(lambda it: matches(it, shared, at), StructType([rows.schema["row"], StructField("found", found)]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -258,19 +261,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_:
     Items are cut into overlapping segments, which begin so densely that every verbatim part of ``PART`` = 75 characters or more
     is found, wherever it begins. Shared grams are counted in overlapping bands of diagonals over whole texts; a
     band is retained if it has as many as the q-gram lemma asks of a match within the segment's edit budget, and the segment
-    is then aligned within the band. [start, end) spans the item's aligned segments, in characters of the text;
-    ``edits`` is the least over its segments and ``segments`` how many of them were found. Letter case and the kind of white
+    is then aligned within the band. [start, end) spans the item's aligned segments, in characters of the text, each from where its
+    alignment begins to where it ends; ``edits`` is the least over its segments and ``segments`` how many of them were found. Letter case and the kind of white
     space don't matter.
 
-    Null and empty texts, and items that are null or shorter than 24 characters, match nothing. Items that are repeated are
-    found once for each time. Identifiers may be null or repeated: each row is searched by itself. Empty tables give an
+    Null and empty texts match nothing, nor do items that are null or shorter than a gram, ``Q`` = 10 characters, which have no
+    gram to be found by. Items that are repeated are found once for each time. Identifiers may be null or repeated: each row is searched by itself. Empty tables give an
     empty table; other columns are ignored.
     """
-    rows = Packed(docs, text, id_).frame.select(F.struct(F.col(id_).alias("id")).alias("row"), F.col(text).alias("text"))
+    rows = Packed(docs, text, id_).frame.select(F.struct(F.col(id_).alias("id"), F.col(text).alias("text")).alias("row"))
     out = None
     for index in passes(benchmark, text, item):
         names = docs.sparkSession.createDataFrame([(k, v) for k, v in enumerate(index.items)], f"item int, name {dict(Packed(benchmark, item).frame.dtypes)[item]}")
-        hits = searched(rows, index).select("row.id", F.explode("found").alias("f")).select("id", "f.*")
+        hits = searched(rows, index, 1).select("row.id", F.explode("found").alias("f")).select("id", "f.*")
         part = hits.join(F.broadcast(names), "item").select(F.col("id").alias(id_), F.col("name").alias(item), "start", "end", "edits", "segments")
         out = part if out is None else out.unionByName(part)
     return out
@@ -279,8 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of ``docs`` in which ``contaminated`` finds nothing, with all their columns; nothing is shuffled."""
     p = Packed(docs, text)
-    rows = p.frame.select("row", F.col(text).alias("text"))
+    rows = p.frame.select("row")
     for index in passes(benchmark, text, item):
-        clean = searched(rows, index).where(F.size("found") == 0).select("row")
-        rows = clean.select("row", F.col(f"row.c{p.at[text]}").alias("text"))
+        rows = searched(rows, index, p.at[text]).where(F.size("found") == 0).select("row")
     return p.unpack(rows)
