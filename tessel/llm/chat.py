@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import written
+from tessel.llm.frames import Packed, release, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -19,7 +19,7 @@ def turn(role: Column, text: Column) -> Column:
 def format_trees(messages: DataFrame, per_root: int = 1) -> DataFrame:
     """The best root-to-leaf paths of reply trees, each as one conversation.
 
-    ``messages`` has ``tree``, ``id``, ``parent``, ``role``, ``text`` and ``score``; other columns are left alone. A
+    ``messages`` has ``tree``, ``id``, ``parent``, ``role``, ``text`` and ``score``; other columns are ignored. A
     message whose parent is null, or absent from its tree, is a root. Self-joins double the reach of every message's
     pointer until all have met their roots, which takes the logarithm of the greatest depth; on the way they add up
     scores. A branch scores the sum of its messages' scores; the ``per_root`` best of each root are chosen, ties going to
@@ -30,8 +30,8 @@ def format_trees(messages: DataFrame, per_root: int = 1) -> DataFrame:
     and identifier one stays: the least by (parent, role, text, score). Messages that hang from a cycle have no root and
     are left out. An empty table gives an empty table.
     """
-    named = [F.col(c).alias(c) for c in ("tree", "id", "parent", "role", "text", "score")]
-    rows = messages.select(*named).where("tree IS NOT NULL AND id IS NOT NULL")
+    named = ("tree", "id", "parent", "role", "text", "score")
+    rows = Packed(messages, *named).frame.select(*named).where("tree IS NOT NULL AND id IS NOT NULL")
     rest = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = written(rows.groupBy("tree", "id").agg(F.min(rest).alias("m")).select("tree", "id", "m.*"))
     ids = nodes.select("tree", F.col("id").alias("parent"))
@@ -44,7 +44,7 @@ def format_trees(messages: DataFrame, per_root: int = 1) -> DataFrame:
         jumps.append(reach.where("up IS NOT NULL").select("tree", "id", "up"))
         next_ = reach.select("tree", F.col("id").alias("up"), F.struct("up", "top", "score", "n").alias("b"))
         both = reach.join(next_, ["tree", "up"], "left")
-        reach = written(both.select("tree", "id", F.col("b.up").alias("up"), F.coalesce("b.top", "top").alias("top"), (F.col("score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("b.n", F.lit(0))).alias("n")))
+        before, reach = reach, written(both.select("tree", "id", F.col("b.up").alias("up"), F.coalesce("b.top", "top").alias("top"), (F.col("score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("b.n", F.lit(0))).alias("n")))
     parents = nodes.select("tree", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
     leaves = reach.where("up IS NULL").join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree", "top").orderBy(F.col("score").desc(), "id")
@@ -61,20 +61,52 @@ def format_trees(messages: DataFrame, per_root: int = 1) -> DataFrame:
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
-    """The table of conversations as messages: a turn replies to the turn before it, and scores its words."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    turns = conversations.select("conv_id", "turn").distinct().withColumn("before", F.lag("turn").over(before))
+    """Conversations as reply trees: those that begin with equal turns share these turns' messages, and branch where they differ.
+
+    A turn replies to the turn before it; its message is known by its place and a 112-bit digest of all roles and texts up to
+    it, and its tree by the first of these. A message scores its words. Running sums of the turns' digests make the ids, so that
+    a conversation is streamed, never held.
+
+    Rows without a conversation are left out. A null turn comes before all others. Rows that share conversation, turn, role
+    and text are one. Those that differ in role or text are alternative replies: each is a branch, and what follows replies to
+    the least of them by (role, text), null first. Null roles and texts differ from empty ones. An empty table gives an empty
+    table; other columns are ignored.
+    """
+    rows = Packed(conversations, "conv_id", "turn", "role", "text").frame.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").distinct()
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumn("place", F.dense_rank().over(turns)).withColumn("number", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    own = [F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in ("role", "text")]
+    rows = rows.withColumn("digest", F.md5(F.concat_ws("|", F.col("place").cast("string"), *own).cast("binary")))
+    earlier = Window.partitionBy("conv_id").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    for k in (0, 1):
+        part = F.conv(F.substring("digest", 1 + 14 * k, 14), 16, 10).cast("decimal(17,0)")
+        rows = rows.withColumn(f"own{k}", part).withColumn(f"before{k}", F.coalesce(F.sum(F.when(F.col("number") == 1, part)).over(earlier), F.lit(0).cast("decimal(27,0)")))
+    first = F.first(F.when((F.col("place") == 1) & (F.col("number") == 1), F.concat_ws(":", F.lit("1"), F.col("own0").cast("string"), F.col("own1").cast("string"))), True)
+    rows = rows.withColumn("first", first.over(turns))
+    id_ = F.concat_ws(":", F.col("place").cast("string"), *[(F.col(f"before{k}") + F.col(f"own{k}")).cast("decimal(28,0)").cast("string") for k in (0, 1)])
+    parent = F.when(F.col("place") > 1, F.concat_ws(":", (F.col("place") - 1).cast("string"), *[F.col(f"before{k}").cast("decimal(28,0)").cast("string") for k in (0, 1)]))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")), F.lit(0)).cast("double")
-    named = conversations.select("conv_id", "turn", "role", "text", words.alias("score")).join(turns, ["conv_id", "turn"])
-    return named.select(F.col("conv_id").alias("tree"), F.col("turn").alias("id"), F.col("before").alias("parent"), "role", "text", "score")
+    return rows.select(F.when(F.col("place") == 1, id_).otherwise(F.col("first")).alias("tree"), id_.alias("id"), parent.alias("parent"), "role", "text", words.alias("score"))
 
 
 ORACLE = r"""
-WITH RECURSIVE m AS (
-  SELECT conv_id AS tree, turn AS id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent,
+WITH RECURSIVE a AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS number
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+b AS (
+  SELECT *, ('0x' || substr(d, 1, 14))::HUGEINT AS own0, ('0x' || substr(d, 15, 14))::HUGEINT AS own1
+  FROM (SELECT *, md5(concat_ws('|', place, coalesce('+' || role, '-'), coalesce('+' || text, '-'))) AS d FROM a)),
+c AS (
+  SELECT *, coalesce(sum(own0) FILTER (number = 1) OVER w, 0)::HUGEINT AS before0, coalesce(sum(own1) FILTER (number = 1) OVER w, 0)::HUGEINT AS before1,
+    max('1:' || own0 || ':' || own1) FILTER (place = 1 AND number = 1) OVER (PARTITION BY conv_id) AS first
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (
+  SELECT DISTINCT CASE WHEN place = 1 THEN '1:' || own0 || ':' || own1 ELSE first END AS tree,
+    place || ':' || (before0 + own0) || ':' || (before1 + own1) AS id, CASE WHEN place > 1 THEN (place - 1) || ':' || before0 || ':' || before1 END AS parent,
     coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 0)::DOUBLE AS score,
     '<|im_start|>' || coalesce(role, 'user') || chr(10) || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') || '<|im_end|>' || chr(10) AS said
-  FROM conversations),
+  FROM c),
 p AS (
   SELECT tree, id AS root, id AS leaf, 1 AS n_turns, score, said FROM m WHERE parent IS NULL
   UNION ALL
