@@ -54,6 +54,17 @@ def least_edits(pattern, text):
     return min(row)
 
 
+def edits(a, b):
+    """Edits between two whole texts."""
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, t in enumerate(b, 1):
+            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def fold(text):
     return "".join(" " if c.isspace() else c.lower() if len(c.lower()) == 1 else c for c in text)
 

@@ -156,7 +156,7 @@ def planted(seed):
     """Documents with benchmark segments at up to 12 edits, and the benchmark."""
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abcdefgh .") for _ in range(n))
-    bench = [(k, text(rng.choice([30, 79, 80, 130, 200]))) for k in range(12)]
+    bench = [(k, text(rng.choice([10, 15, 23, 30, 79, 80, 130, 200]))) for k in range(12)]
     docs = []
     for i in range(60):
         body = text(300)
@@ -185,8 +185,13 @@ def test_decontamination(spark, seed):
                 if d <= e:
                     want[i, k] = min(want.get((i, k), 99), d)
     assert {(r.doc_id, r.item_id): r.edits for r in got} == want
+    items, exact = dict(bench), 0
     for r in got:
-        assert 0 <= r.start < r.end <= len(docs[r.doc_id][1]) + 1
+        assert 0 <= r.start < r.end <= len(docs[r.doc_id][1])
+        if r.segments == 1 and len(items[r.item_id]) <= decontaminate.SEGMENT:  # the whole item is the one segment
+            exact += 1
+            assert brute.edits(brute.fold(items[r.item_id]), brute.fold(docs[r.doc_id][1])[r.start : r.end]) == r.edits
+    assert exact > 3
 
 
 def test_every_part_of_an_item_is_found():
@@ -199,7 +204,7 @@ def test_every_part_of_an_item_is_found():
         for at in range(len(item) - 74):
             chars = decontaminate.folded("".join(rng.choice("uvwxyz ") for _ in range(90)) + item[at : at + 75] + "".join(rng.choice("uvwxyz ") for _ in range(90)), table)
             seg, start = decontaminate.regions(index, chars)
-            edits, _ = decontaminate.aligned(index, chars, seg, start)
+            edits, *_ = decontaminate.aligned(index, chars, seg, start)
             assert {int(x) for x in index.of[seg[edits <= index.edits[seg]]]} == {k}, (k, at)
     assert not len(decontaminate.regions(index, decontaminate.folded(text(2000), table))[0])
 
@@ -289,23 +294,54 @@ def test_quality_held_out(spark, small_dir):
     assert sum(kept) / len(kept) > 0.93 and sum(gone) / len(gone) > 0.7
 
 
-def test_attention_gradient():
-    """The gradient steps lower the loss, and a bag is judged by its one telling passage."""
+def test_gradients_by_finite_differences():
     rng = np.random.default_rng(0)
-    bags = rng.integers(1, 9, 200)
-    x = rng.normal(size=(bags.sum(), 5))
-    good = np.arange(200) % 2 == 0
-    starts = np.cumsum(bags) - bags
-    x[starts[~good], 0] += 6
-    w = quality.fit(x, bags, good)
-    _, _, _, a, _, logit = quality.forward(w, x, bags)
-    assert ((logit > 0) == good).mean() > 0.95
-    assert np.allclose(np.add.reduceat(a, starts), 1)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], rng.integers(1, 200))) for _ in range(12)]
+    d = quality.Encoder().encode(texts)
+    shapes, good, each = rng.normal(size=(len(d.shapes), 13)), np.arange(12) % 2 == 0, rng.random(12)
+    f, k = 3 * quality.WIDTH + 13, quality.WIDTH
+    sizes = {"e": (f, 5), "eb": (5,), "v": (5, 4), "u": (5, 4), "a": (4,), "c": (5,), "cb": ()}
+    w = {n: np.array(rng.normal(size=s) * 0.5) for n, s in sizes.items()} | {"words": rng.normal(size=(quality.BUCKETS, k))}
+    _, g = quality.loss_of(w, d, shapes, good, each)
+    buckets, words = g.pop("words")
+    places = [(n, tuple(rng.integers(0, m) for m in w[n].shape), None) for n in g for _ in range(6)]
+    places += [("words", (buckets[i], j), words[i, j]) for i in range(len(buckets)) for j in (0, k - 1)]
+    for n, at, want in places:
+        want, was, loss = g[n][at] if want is None else want, w[n][at].copy(), []
+        for step in (1e-6, -1e-6):
+            w[n][at] = was + step
+            loss.append(quality.loss_of(w, d, shapes, good, each)[0])
+        w[n][at] = was
+        assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(want, rel=1e-4, abs=1e-7), (n, at)
+
+
+def test_one_telling_passage():
+    """A text is judged by its one telling passage, and that gets most attention."""
+    rng = random.Random(0)
+    text = lambda: [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(65, 400))]
+    texts, place = [], []
+    for i in range(400):
+        t = text()
+        place.append(rng.randrange(len(t)))
+        if i % 2:
+            t[place[i]] = rng.choice(["awful", "dire"])
+        texts.append(" ".join(t))
+    model = quality.train(texts[:200], [i % 2 == 0 for i in range(200)])
+    d = quality.Encoder().encode(texts[200:])
+    p, a = quality.probabilities(model, d)
+    assert ((p >= model.threshold) == (np.arange(200) % 2 == 0)).mean() > 0.95
+    starts = np.cumsum(d.bags) - d.bags
+    assert np.allclose(np.add.reduceat(a, starts), 1, atol=1e-5)
+    right = [a[starts[i] : starts[i] + d.bags[i]].argmax() == place[200 + i] // quality.PASSAGE for i in range(1, 200, 2)]
+    assert sum(right) / len(right) > 0.8
 
 
 def test_lots_do_not_matter(spark, small_dir):
-    rows = documents(spark, small_dir)
-    encoder = quality.Encoder({"the": 0.5, "of": -1.0})
-    x, bags = encoder.encode([t for _, t in rows])
-    again = [quality.Encoder({"the": 0.5, "of": -1.0}).encode([t]) for _, t in rows]
-    assert bags.tolist() == [int(b[0]) for _, b in again] and np.allclose(x, np.concatenate([a for a, _ in again]), atol=1e-4)
+    texts = [t for _, t in documents(spark, small_dir)]
+    d, again = quality.Encoder().encode(texts), [quality.Encoder().encode([t]) for t in texts]
+    assert d.bags.tolist() == [int(x.bags[0]) for x in again]
+    for c in ("words", "pairs", "shapes"):
+        assert np.allclose(getattr(d, c), np.concatenate([getattr(x, c) for x in again]), atol=1e-4)
+    some = np.array([5, 3, 8])
+    own, want = d.of(some), quality.Encoder().encode([texts[i] for i in some])
+    assert all(np.allclose(getattr(own, c), getattr(want, c), atol=1e-4) for c in ("words", "pairs", "starts", "shapes", "bags"))

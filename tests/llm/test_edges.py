@@ -103,12 +103,22 @@ def test_line_dedup(docs, none):
                 kept, at = kept + original[at : s.start], s.end
             assert kept + original[at:] == r.text
     texts = {r.doc_id: r.text for r in out.where("doc_id IS NOT NULL").collect()}
-    assert texts[1] == SENTENCE + "one more." and texts[2].strip() in ("", "one more.") and texts[5] == "" and texts[4] is None and texts[7] == LONG
+    assert texts[1] == SENTENCE + "one more." and texts[2] == "" and texts[5] == "" and texts[4] is None and texts[7] == LONG
     assert line_dedup.dedup_units(none).count() == 0
     for unit in ("line", "paragraph"):
         assert line_dedup.dedup_units(docs, unit=unit, min_words=5).count() == len(ROWS)
 
 
+def test_short_lines_and_paragraphs(spark):
+    rows = [(1, "Read more!\nFirst text.\n\nread  more\n"), (2, "READ MORE\n...\nSecond text.\n\n--\n"), (3, "Second text, read more"), (4, "Two lines\nof a paragraph\n\nown"), (5, "else\n\nTwo lines\nof a paragraph")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed]) for r in line_dedup.dedup_units(df).collect()}
+    assert out[1] == ("Read more!\nFirst text.\n\n", [(24, 35)]) and out[2] == ("Second text.\n\n--\n", [(0, 14)]) and out[3] == (rows[2][1], [])
+    assert out[4][1] == [] and out[5] == ("else\n\n", [(6, 30)])
+    out = {r.doc_id: r.text for r in line_dedup.dedup_units(df, unit="paragraph").collect()}
+    assert out[1] == "Read more!\nFirst text.\n\nread  more\n" and out[2] == "Second text.\n\n--\n" and out[5] == "else\n\n"
+
+
 def test_passage_inside_lines(spark):
     passage = " ".join(f"Sentence number {i} has its own seven words." for i in range(8))
     rows = [(i, f"Own beginning {i} of this text {passage} and own ending {i} of it.") for i in range(4)] + [(9, "A clean text that nobody shares. With two sentences.")]
@@ -175,4 +185,19 @@ def test_chat(spark):
     both = {(r.leaf, r["rank"], r.n_turns) for r in chat.format_trees(df, 2).where("tree = 1").collect()}
     assert both == {(2, 1, 2), (4, 2, 3)}
     assert chat.format_trees(df.where("false")).count() == 0
-    assert chat.messages_of(spark.createDataFrame([(1, 0, "user", None), (1, 5, None, "x"), (None, 1, "user", "y")], "conv_id bigint, turn bigint, role string, text string")).count() == 2
+    clash = df.select("*", F.lit("other").alias("ID"), F.lit(0).alias("Tree"))
+    assert {(r.tree, r.root, r.leaf) for r in chat.format_trees(clash).collect()} == set(out)
+
+
+def test_messages_of(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, TEXT int, id int"
+    rows = [(1, 0, "user", "hi"), (1, 5, "assistant", "short"), (2, None, "user", "hi"), (2, 1, "assistant", "a longer reply"), (2, 1, "assistant", "a longer reply"), (2, 2, "user", "thanks"), (2, 2, "user", None), (3, 0, "user", "HI"), (None, 1, "user", "y"), (4, 0, None, "")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], schema)
+    out = chat.messages_of(df)
+    assert out.count() == 8 and out.select("tree", "id").distinct().count() == 7  # two of "hi" are one message
+    got = {(r.n_turns, r.score, r.conversation.replace("<|im_start|>", "[").replace("<|im_end|>\n", "]")) for r in chat.format_trees(out, 9).collect()}
+    hi = "[user\nhi]"
+    assert got == {(2, 2.0, hi + "[assistant\nshort]"), (3, 5.0, hi + "[assistant\na longer reply][user\nthanks]"), (3, 4.0, hi + "[assistant\na longer reply][user\n]"), (1, 1.0, "[user\nHI]"), (1, 0.0, "[user\n]")}
+    best = {r.conversation.count("im_start") for r in chat.format_trees(out).where("score > 1").collect()}
+    assert best == {3}  # the better of the branches that begin with "hi"
+    assert chat.messages_of(df.where("false")).count() == 0

@@ -21,9 +21,8 @@ def test_stages(spark, small_dir):
         kept.append([r.doc_id for r in docs.collect()])
     ids = sorted(i for i in labels if i in rows)
     model = quality.train([rows[i].text for i in ids], [labels[i] == (1, 0) for i in ids])
-    x, bags = quality.Encoder(model.lexicon).encode([rows[i].text for i in sorted(rows)])
-    logits = quality.forward(model.weights, (x - model.mean) / model.scale, bags)[-1]
-    assert sorted(kept[0]) == [i for i, z in zip(sorted(rows), logits) if 1 / (1 + 2.718281828459045**-z) >= model.threshold]
+    scores, _ = quality.probabilities(model, quality.Encoder().encode([rows[i].text for i in sorted(rows)]))
+    assert sorted(kept[0]) == [i for i, z in zip(sorted(rows), scores) if z >= model.threshold]
     roots = brute.groups(brute.jaccard_pairs([(i, rows[i].text) for i in kept[0]], ngram_join.THRESHOLD))
     assert sorted(kept[1]) == sorted(i for i in kept[0] if roots.get(i, i) == i)
     leaks = {i for i in kept[1] for _, t in bench if brute.fold(t) in brute.fold(rows[i].text)}
