@@ -20,6 +20,8 @@ SENT, SENT_GRAMS = 500_000, 200_000
 BLOCK, CELL = 1000, 1500
 #: Bits of a signature, from which an upper bound of two documents' overlap follows.
 SIGNATURE = 2048
+#: Grams, about, and documents, at most, that are counted together before any is sent.
+LOT, LOT_DOCS = 1_000_000, 30_000
 #: What a row is in a block of a region: one of its members; one that members are joined with; the pivot, for distances only.
 INSIDE, OUTSIDE, ASIDE = 0, 1, 2
 
@@ -72,29 +74,52 @@ def gram_sets(texts: list[str], n: int) -> list:
     return out
 
 
+def divided(part, parts: int, *columns):
+    """The columns ordered by part, as lists, one for each part that has something; and these parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    there = np.flatnonzero(cut[1:] > cut[:-1])
+    offsets = pa.array(np.append(cut[there], cut[-1]), pa.int32())
+    return there, [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+
+
+def number_of_lots():
+    """Numbers for a task's lots, the same in any attempt at it."""
+    import itertools
+
+    from pyspark import TaskContext
+
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
 @lean
-def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
+def offered(batches: Iterator, n: int, parts: int) -> Iterator:
     """Halves of gram hashes, divided among ``parts``: for each lot of documents and part, what other lots may share.
 
     Grams of several documents of a lot are known to be shared; they are sent once, in ``common``, and counted in ``known``. So
-    a gram of very many documents is sent as often as there are lots. Grams of one document of the lot are in ``grams``, ``counts``
-    of them for each of ``keys``.
+    a gram of very many documents is sent as often as there are lots. Of other grams the document's number in the lot goes
+    along, in ``docs``. A row of its own has the lot's ``keys``, their ``sizes`` and what is ``known``.
     """
     import numpy as np
     import pyarrow as pa
 
     from tessel.llm.tokens import lots
 
-    names = ["part", "keys", "sizes", "known", "counts", "grams", "common"]
-    kinds = [pa.int32(), *[pa.list_(t) for t in (pa.int64(), *[pa.int32()] * 5)]]
+    kinds = {"part": pa.int32(), "lot": pa.int64(), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "known": pa.list_(pa.int32()), "docs": pa.list_(pa.int16()), "grams": pa.list_(pa.int32()), "common": pa.list_(pa.int32())}
+    numbers = number_of_lots()
 
     def half(g):
         return (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def divided(part):
-        return np.searchsorted(part, np.arange(parts + 1))
+    def row(**columns):
+        size = len(columns["part"])
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.array([[]] * size, k) for c, k in kinds.items()], names=list(kinds))
 
     def out(keys, sets):
+        lot = next(numbers)
         sizes = np.array([len(s) for s in sets], np.int32)
         grams, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(grams, kind="stable")
@@ -103,89 +128,169 @@ def scattered(batches: Iterator, n: int, parts: int) -> Iterator:
         often = np.append(same, False) | np.append(False, same)
         known = np.bincount(doc[often], minlength=len(sets)).astype(np.int32)
         common = grams[often & ~np.append(False, same)]
-        grams, doc = grams[~often], doc[~often]
-        # Every document is in some part, for what is known of it.
-        part = np.concatenate((grams % np.uint64(parts), keys.view(np.uint64) % np.uint64(parts))).astype(np.int32)
-        doc, mark = np.concatenate((doc, np.arange(len(sets)))), np.repeat([0, 1], [len(grams), len(sets)])
-        grams = np.concatenate((half(grams), np.zeros(len(sets), np.int32)))
-        order = np.lexsort((mark, doc, part))
-        part, doc, mark, grams = part[order], doc[order], mark[order], grams[order]
-        where = (common % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(where, kind="stable")
-        common, cut, also = half(common[order]), divided(part), divided(where[order])
-        columns = [[] for _ in names]
-        for p in range(parts):
-            a, z = cut[p], cut[p + 1]
-            if a == z and also[p] == also[p + 1]:
-                continue
-            own, first = np.unique(doc[a:z], return_index=True)
-            home = np.zeros(len(own), np.int32)
-            if z > a:
-                home = np.add.reduceat(mark[a:z], first).astype(np.int32)
-            counts = np.diff(np.append(first, z - a)).astype(np.int32) - home
-            for c, v in zip(columns, (p, keys[own], sizes[own], known[own] * home, counts, grams[a:z][mark[a:z] == 0], common[also[p] : also[p + 1]]), strict=True):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        grams, doc = grams[~often], doc[~often].astype(np.int16)
+        yield row(part=pa.array([lot % parts], pa.int32()), lot=pa.array([lot]), keys=pa.array([keys]), sizes=pa.array([sizes]), known=pa.array([known]))
+        there, (docs, halves) = divided((grams % np.uint64(parts)).astype(np.int32), parts, doc, half(grams))
+        yield row(part=pa.array(there, pa.int32()), lot=pa.array(np.full(len(there), lot)), docs=docs, grams=halves)
+        there, (halves,) = divided((common % np.uint64(parts)).astype(np.int32), parts, half(common))
+        yield row(part=pa.array(there, pa.int32()), lot=pa.array(np.full(len(there), lot)), common=halves)
 
     keys, sets, size = [], [], 0
     for b in batches:
         at, all_keys = 0, b.column("key").to_numpy()
-        for lot in lots(b.column("text"), 1_000_000):
+        for lot in lots(b.column("text")):
             for k, s in zip(all_keys[at : at + len(lot)], gram_sets(lot, n), strict=True):
                 if len(s):
                     keys.append(k)
                     sets.append(s)
                     size += len(s)
+                if size > LOT or len(keys) == LOT_DOCS:
+                    yield from out(np.array(keys), sets)
+                    keys, sets, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
             at += len(lot)
-            if size > 1_000_000:
-                yield out(np.array(keys), sets)
-                keys, sets, size = [], [], 0
-                pa.default_memory_pool().release_unused()
     if size:
-        yield out(np.array(keys), sets)
+        yield from out(np.array(keys), sets)
+
+
+def by_part(batches: Iterator, part: str, *columns: str):
+    """The rows of each part, which come together: its number, and for each column the rows' lists."""
+    import numpy as np
+
+    held, now = None, None
+    for b in batches:
+        p, values = b.column(part).to_numpy(), [lists(b, c) if str(b.column(c).type).startswith("list") else b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
+        for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True):
+            if p[a] != now:
+                if held:
+                    yield now, held
+                held, now = [[] for _ in columns], p[a]
+            for h, v in zip(held, values, strict=True):
+                h += [v[1][v[0][i] : v[0][i + 1]].copy() for i in range(a, z)] if isinstance(v, tuple) else v[a:z].tolist()
+    if held:
+        yield now, held
 
 
 @lean
 def met(batches: Iterator) -> Iterator:
-    """For each document, how many of its grams in these parts another document has too; rows come sorted by part."""
+    """For each part and lot, how many of its documents' grams in the part other lots have too; and the lots' own rows as they are."""
     import numpy as np
     import pyarrow as pa
 
-    def counted(held):
-        grams, keys, sizes, known, counts, common = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in held)
-        order = np.argsort(grams, kind="stable")
-        grams = grams[order]
-        same = grams[1:] == grams[:-1]
+    names = ["lot", "kind", "keys", "sizes", "known", "docs", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int16())] * 2]
+    for _, (lot, keys, sizes, known, docs, grams, common) in by_part(batches, "part", "lot", "keys", "sizes", "known", "docs", "grams", "common"):
+        own = [i for i, k in enumerate(keys) if len(k)]
+        if own:
+            columns = [[lot[i] for i in own], [0] * len(own), *([c[i] for i in own] for c in (keys, sizes, known)), [[]] * len(own), [[]] * len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        row = np.repeat(np.arange(len(lot)), [len(g) for g in grams])
+        if not len(row):
+            continue
+        g, doc, common = np.concatenate(grams), np.concatenate(docs).astype(np.int64), np.unique(np.concatenate(common))
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        same = g[1:] == g[:-1]
         there = np.append(same, False) | np.append(False, same)
         if len(common):
-            common = np.unique(common)
-            at = np.searchsorted(common, grams)
+            at = np.searchsorted(common, g)
             at[at == len(common)] = 0
-            there |= common[at] == grams
-        shared = np.zeros(len(grams) + 1, np.int64)
-        shared[order] = there
-        ends = np.cumsum(counts)
-        total = np.append(0, np.cumsum(shared[:-1]))
-        n = known + total[ends] - total[ends - counts]
-        some = np.flatnonzero(n)
-        for a in range(0, len(some), 100_000):
-            at = some[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(sizes[at], pa.int32()), pa.array(n[at], pa.int32())], names=["key", "size", "shared"])
-
-    held, part = [[] for _ in range(6)], None
+            there |= common[at] == g
+        at = order[there]
+        both, counts = np.unique(row[at] * (1 << 15) + doc[at], return_counts=True)
+        there, (docs, counts) = divided(both >> 15, len(lot), (both & 0x7FFF).astype(np.int16), np.minimum(counts, 0x7FFF).astype(np.int16))
+        empty = [pa.array([[]] * len(there), k) for k in kinds[2:5]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(lot)[there], pa.int64()), pa.array(np.ones(len(there), np.int32)), *empty, docs, counts], names=names)
+
+
+@lean
+def hopeful(batches: Iterator, threshold: float) -> Iterator:
+    """Keys of a lot's documents of which others share enough grams; rows come sorted by lot, its own row first."""
+    import numpy as np
+    import pyarrow as pa
+
+    for _, (keys, sizes, known, docs, counts) in by_part(batches, "lot", "keys", "sizes", "known", "docs", "counts"):
+        shared = known[0].astype(np.int64)
+        for d, c in zip(docs[1:], counts[1:], strict=True):
+            shared[d] += c  # of each document once
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0][shared >= threshold * sizes[0] - 1e-9])], names=["key"])
+
+
+@lean
+def bundled(batches: Iterator) -> Iterator:
+    """Documents with their grams in lots, a row each."""
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = number_of_lots()
     for b in batches:
-        p = b.column("part").to_numpy()
-        cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
-        for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True):
-            if p[a] != part:
-                if part is not None:
-                    yield from counted(held)
-                held, part = [[] for _ in range(6)], p[a]
-            own = b.slice(a, z - a)
-            for k, c in enumerate(("grams", "keys", "sizes", "known", "counts", "common")):
-                held[k].append(own.column(c).flatten().to_numpy())
-    if part is not None:
-        yield from counted(held)
+        offsets, flat = lists(b, "grams")
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + LOT // 2)))
+            z = min(z, b.num_rows)
+            columns = [b.column("key").to_numpy()[a:z], b.column("mult").to_numpy()[a:z], np.diff(offsets[a : z + 1]).astype(np.int32), flat[offsets[a] : offsets[z]]]
+            yield pa.RecordBatch.from_arrays([pa.array([next(numbers)]), *(pa.array([c]) for c in columns)], names=["lot", "keys", "mults", "lens", "grams"])
+            a = z
+
+
+@lean
+def offered_once(batches: Iterator, parts: int) -> Iterator:
+    """Each lot's distinct grams and how many of its documents have them, divided among ``parts``."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        for lot, grams in zip(b.column("lot").to_pylist(), b.column("grams"), strict=True):
+            g, counts = np.unique(grams.values.to_numpy().view(np.uint64), return_counts=True)
+            there, columns = divided((g % np.uint64(parts)).astype(np.int32), parts, g.view(np.int64), counts.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), lot)), *columns], names=["part", "lot", "grams", "counts"])
+
+
+@lean
+def frequencies(batches: Iterator) -> Iterator:
+    """For each part and lot, its grams that several documents have, and how many do."""
+    import numpy as np
+    import pyarrow as pa
+
+    for _, (lot, grams, counts) in by_part(batches, "part", "lot", "grams", "counts"):
+        row = np.repeat(np.arange(len(lot)), [len(g) for g in grams])
+        g, counts = np.concatenate(grams), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        first = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
+        df = np.zeros(len(g), np.int64)
+        df[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(g))))
+        some = df > 1
+        there, columns = divided(row[some], len(lot), g[some], np.minimum(df[some], 0x7FFFFFFF).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(lot)[there], pa.int64()), *columns], names=["lot", "grams", "df"])
+
+
+@lean
+def rarest_first(batches: Iterator, threshold: float) -> Iterator:
+    """A lot's documents with their shared grams from the rarest on; rows come sorted by lot, its own row first."""
+    import numpy as np
+    import pyarrow as pa
+
+    for _, (keys, mults, lens, grams, df) in by_part(batches, "lot", "keys", "mults", "lens", "grams", "df"):
+        key, mult, size, own = keys[0], mults[0], lens[0], grams[0]
+        known, often = np.concatenate(grams[1:] or [own[:0]]), np.concatenate(df[1:] or [np.zeros(0, np.int32)])
+        order = np.argsort(known)
+        known, often = known[order], often[order]
+        if not len(known):
+            continue
+        at = np.searchsorted(known, own)
+        at[at == len(known)] = 0
+        there = known[at] == own
+        doc = np.repeat(np.arange(len(key)), size)[there]
+        own, often = own[there], often[at[there]]
+        own = own[np.lexsort((own, often, doc))]
+        offsets = np.searchsorted(doc, np.arange(len(key) + 1))
+        n = np.diff(offsets)
+        some = np.flatnonzero(n >= np.maximum(1, threshold * size - 1e-9))
+        values = own[np.repeat(offsets[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())]
+        columns = [pa.array(key[some]), pa.array(size[some]), pa.array(mult[some]), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[some])), pa.int32()), pa.array(values))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "mult", "grams"])
 
 
 @lean
@@ -481,26 +586,28 @@ def class_join(docs: DataFrame, n: int, threshold: float, levels: tuple[int, ...
     r, parts = 1 - threshold, partitions(docs.sparkSession)
     ids = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.xxhash64(id_, text).alias("key")).where("id IS NOT NULL")
     rows = ids.where("text IS NOT NULL")
-    kinds = "part int, keys array<long>, sizes array<int>, known array<int>, counts array<int>, grams array<int>, common array<int>"
-    # A task takes several parts, one after another, so that it holds but a share of its input.
-    halves = rows.select("key", "text").mapInArrow(lambda it: scattered(it, n, 4 * parts), kinds).repartition(parts, "part").sortWithinPartitions("part")
-    shared = halves.mapInArrow(met, "key long, size int, shared int").groupBy("key").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"))
-    maybe = written(shared.where(F.col("shared") >= F.lit(threshold) * F.col("size") - 1e-9).select("key"))
+    own, short = "keys array<long>, sizes array<int>, known array<int>", "docs array<short>"
+    offers = rows.select("key", "text").mapInArrow(lambda it: offered(it, n, parts), f"part int, lot long, {own}, {short}, grams array<int>, common array<int>")
+    replies = offers.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, f"lot long, kind int, {own}, {short}, counts array<short>")
+    hopes = replies.repartition(parts, "lot").sortWithinPartitions("lot", "kind").mapInArrow(lambda it: hopeful(it, threshold), "key long")
+    maybe = written(hopes)
     id_type = dict(rows.dtypes)["id"]
     found = rows.join(small(maybe), "key", "left_semi").select("id", "key", "text")
     found = written(found.mapInArrow(lambda it: with_grams(it, n), f"id {id_type}, key long, same binary, grams array<long>"))
-    classes = found.groupBy("same").agg(F.min(F.struct("id", "key")).alias("m"))
-    classes = written(classes.select("same", F.col("m.key").alias("class")))
-    members = written(found.select("same", "id").distinct().join(classes, "same").select("class", "id"))
-    one = found.select("key", "grams").join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    one = written(one)
-    release(maybe, found, classes)
-    grams = one.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    kept = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    kept = kept.where(F.size("g") >= F.lit(threshold) * F.col("size") - 1e-9)
-    mults = members.groupBy(F.col("class").alias("key")).agg(F.count("*").alias("mult"))
-    core = written(kept.join(mults, "key").select("key", "size", "mult", F.transform("g", lambda g: g["gram"]).alias("grams")))
+    owners = written(found.groupBy("same", "id").agg(F.min("key").alias("key")))
+    classes = owners.groupBy("same").agg(F.min(F.struct("id", "key")).alias("m"), F.count("*").alias("mult"))
+    classes = written(classes.select("same", F.col("m.key").alias("class"), "mult"))
+    members = written(owners.join(classes, "same").select("class", "id"))
+    one = found.join(small(classes.select(F.col("class").alias("key"), "mult")), "key").select("key", "mult", "grams").dropDuplicates(["key"])
+    bundles = "keys array<long>, mults array<long>, lens array<int>, grams array<long>"
+    one = written(one.mapInArrow(bundled, f"lot long, {bundles}"))
+    release(maybe, found, owners, classes)
+    offers = one.select("lot", "grams").mapInArrow(lambda it: offered_once(it, parts), "part int, lot long, grams array<long>, counts array<int>")
+    df = offers.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(frequencies, "lot long, grams array<long>, df array<int>")
+    df = df.select("lot", F.lit(1).alias("kind"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("keys", "long"), ("mults", "long"), ("lens", "int"))], "grams", "df")
+    both = one.select("lot", F.lit(0).alias("kind"), "keys", "mults", "lens", "grams", F.array().cast("array<int>").alias("df")).unionByName(df)
+    core = both.repartition(parts, "lot").sortWithinPartitions("lot", "kind").mapInArrow(lambda it: rarest_first(it, threshold), "key long, size int, mult long, grams array<long>")
+    core = written(core)
     release(one)
     return ids.select("id"), members, region_join(core, r, levels, links)
 
