@@ -1,15 +1,22 @@
 """Types of strings: numbers, addresses, places, dates, paths and arrays of them.
 
-One ordered table of rules, each an anchored pattern with a test and values, drives the column; the first rule that fits
-wins. All of it is built-in expressions.
+One ordered table of rules, each an anchored pattern with a test and values, decides; the first rule that fits wins. As one
+built-in expression the table is past what the JVM compiles, so that it runs over Arrow batches.
 """
 
 from __future__ import annotations
 
+import calendar
+import functools
+import math
+import re
 from collections.abc import Callable
+from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 YEAR, MONTH, DAY = "(19[0-9]{2}|20[0-9]{2}|2100)", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 DAY_NAMES = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
@@ -22,127 +29,144 @@ V4 = r"\.".join([OCTET] * 4)
 HEX = "[0-9A-Fa-f]{1,4}"
 TIME_ZONE = r"(?:[Zz]|([+-])([01][0-9]|2[0-3]):?([0-5][0-9]))?"
 UNIT_MS = {"y": 31536000000, "M": 2592000000, "w": 604800000, "d": 86400000, "h": 3600000, "H": 3600000, "m": 60000, "s": 1000}
+REST = "[^\n\r\x85\u2028\u2029]"
+SPACE = " \t\n\r\f\v"
 
-TAGS = ["IPAddressV6", "IPAddressV4", "Geo", "Float", "DateMath", "LogDate", "ISO8601Date", "RFC2822Date", "AmericanDate", "EuropeanDate", "VerboseDate", "FinancialDate", "FullDate", "GenericDate", "Integer", "Boolean", "File", "Null", "String"]
 #: Types that arrays of one type take theirs from; arrays of any other type are plain arrays.
 ARRAYED = {"Integer", "Float", "String", "Boolean", "DateMath", "LogDate", "ISO8601Date", "FullDate", "RFC2822Date", "AmericanDate", "EuropeanDate", "VerboseDate", "FinancialDate", "GenericDate", "IPAddressV4", "IPAddressV6", "Geo", "File"}
+#: An element: quoted parts and anything but commas and brackets; nested arrays are unwrapped into their elements.
+ELEMENT = re.compile(r'(?:"[^"]*"?|[^,"\[\]])+')
+
 
+def month_of(name: str) -> int:
+    return "JanFebMarAprMayJunJulAugSepOctNovDec".index(name[:3]) // 3 + 1
 
-def group(s: Column, pattern: str, k: int) -> Column:
-    """Group k of a pattern; null where it took no part."""
-    return F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
 
+def day_ms(year: str, month: int | str, day: str) -> int:
+    """Milliseconds of a day in UTC; days past the month's end run on into the next."""
+    return (date(int(year), int(month), 1).toordinal() - 719163 + int(day) - 1) * 86400000
 
-def number(c: Column, kind: str = "int") -> Column:
-    return F.coalesce(c.try_cast(kind), F.lit(0).cast(kind))
 
+def time_ms(h: str | None, m: str | None, s: str | None, fraction: str | None) -> int:
+    return int(h or 0) * 3600000 + int(m or 0) * 60000 + int(s or 0) * 1000 + int((fraction or "0").ljust(3, "0")[:3])
 
-def month_number(name: Column) -> Column:
-    return F.floor((F.position(F.substring(name, 1, 3), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) + 2) / 3).cast("int")
 
+def zone_ms(sign: str | None, h: str | None, m: str | None) -> int:
+    return 0 if sign is None else (-1 if sign == "-" else 1) * (int(h) * 60 + int(m)) * 60000
 
-def day_ms(year: Column, month: Column, day: Column) -> Column:
-    """Milliseconds of a day in UTC; days past the month's end run on into the next."""
-    first = F.make_date(year, month, F.lit(1))
-    return (F.datediff(first, F.lit("1970-01-01").cast("date")) + day - 1).cast("bigint") * 86400000
 
+def inside(year: str, month: int | str, day: str) -> bool:
+    return int(day) <= calendar.monthrange(int(year), int(month))[1]
 
-def time_ms(h: Column, m: Column, s: Column, fraction: Column) -> Column:
-    parts = number(h, "bigint") * 3600000 + number(m, "bigint") * 60000 + number(s, "bigint") * 1000
-    return parts + number(F.substring(F.rpad(F.coalesce(fraction, F.lit("0")), 3, "0"), 1, 3), "bigint")
 
+class Rule(NamedTuple):
+    tag: str
+    pattern: re.Pattern
+    needs: str  # what every string of the pattern contains is looked for first: most rules are ruled out by that alone
+    also: Callable | None
+    value: Callable | None
+    second: Callable | None
 
-def number_value(s: Column) -> Column:
-    return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
+def math_ms(s: str, now: float) -> float:
+    """Date arithmetic: the shifts before the first slash, then rounding down to a unit."""
+    moved = float(now)
+    for shift in re.findall(r"[+-][0-9]+[yMwdhHms]", s.partition("/")[0]):
+        moved += float(shift[:-1]) * UNIT_MS[shift[-1]]
+    step = re.search("/([yMwdhHms])", s)
+    return math.floor(moved / UNIT_MS[step[1]]) * float(UNIT_MS[step[1]]) if step else moved
 
-def rules(s: Column, now_ms: Column) -> list[tuple[str, Column, Column, Column]]:
-    """(tag, test, first value, second value), in order. Values are evaluated only where their test holds."""
-    zero = F.lit(0.0)
-    out: list[tuple[str, Column, Column, Column]] = []
 
-    def rule(tag: str, pattern: str, value: Callable[[Callable[[int], Column]], Column] | None = None, also: Callable[[Callable[[int], Column]], Column] | None = None, second: Callable[[Callable[[int], Column]], Column] | None = None, needs: str = "") -> None:
-        anchored = rf"\A(?:{pattern})\z"
-        g = lambda k: group(s, anchored, k)
-        # What every string of the pattern contains is looked for first: most rules are ruled out by that alone.
-        fits = s.contains(needs) & s.rlike(anchored) if needs else s.rlike(anchored)
-        if also is not None:
-            fits = fits & F.coalesce(also(g), F.lit(False))
-        out.append((tag, fits, value(g).cast("double") if value else zero, second(g).cast("double") if second else zero))
+def table_of_rules() -> list[Rule]:
+    out = []
+
+    def rule(tag, pattern, value=None, also=None, second=None, needs="") -> None:
+        out.append(Rule(tag, re.compile(pattern, re.ASCII), needs, also, value, second))
 
     full6 = rf"{HEX}(?::{HEX}){{7}}"
     short6 = rf"(?:{HEX}(?::{HEX}){{0,6}})?::(?:(?:{HEX}:){{0,5}}(?:{HEX}|{V4}))?"
-    rule("IPAddressV6", f"{full6}|{short6}", also=lambda g: F.length(F.regexp_replace(s, "[^:]", "")) <= 8, needs=":")
-    rule("IPAddressV4", V4, lambda g: ((g(1).cast("bigint") * 256 + g(2).cast("bigint")) * 256 + g(3).cast("bigint")) * 256 + g(4).cast("bigint"), needs=".")
+    rule("IPAddressV6", f"{full6}|{short6}", also=lambda s, g: s.count(":") <= 8, needs=":")
+    rule("IPAddressV4", V4, lambda s, g, now: ((int(g[1]) * 256 + int(g[2])) * 256 + int(g[3])) * 256 + int(g[4]), needs=".")
     place = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)),([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
-    rule("Geo", place, lambda g: number_value(g(1)), lambda g: (F.abs(number_value(g(1))) < 90) & (F.abs(number_value(g(2))) < 180), lambda g: number_value(g(2)), needs=",")
-    rule("Float", r"[+-]?[0-9]+\.(?:[0-9]+(?:[eE][+-]?[0-9]+)?)?|[+-]?[0-9]+[eE][+-]?[0-9]+", lambda g: number_value(s))
-    shifts = F.regexp_extract_all(F.regexp_replace(s, "/.*", ""), F.lit(r"([+-][0-9]+[yMwdhHms])"), F.lit(1))
-    unit = lambda c: F.element_at(F.create_map(*[x for k, v in UNIT_MS.items() for x in (F.lit(k), F.lit(float(v)))]), c)
-    moved = F.aggregate(shifts, now_ms.cast("double"), lambda t, x: t + number_value(F.substring(x, 1, F.length(x) - 1)) * unit(F.substring(x, -1, 1)))
-    step = unit(F.nullif(F.regexp_extract(s, "/([yMwdhHms])", 1), F.lit("")))
-    rule("DateMath", r"now(?:[+-][0-9]+[yMwdhHms])*(?:/[yMwdhHms].*)?", lambda g: F.when(step.isNotNull(), F.floor(moved / step) * step).otherwise(moved), needs="now")
-    rule("LogDate", rf"\s*{DAY_NAMES}\s+{MONTH_NAMES}\s+{DAY}\s+{TIME}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(7)), month_number(g(1)), number(g(2))) + time_ms(g(3), g(4), g(5), g(6)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2, needs=":")
-    zone = lambda g: F.when(g(8).isNull(), 0).otherwise(F.when(g(8) == "-", -1).otherwise(1) * (number(g(9)) * 60 + number(g(10)))).cast("bigint") * 60000
-    rule("ISO8601Date", rf"{YEAR}-{MONTH}-{DAY}[Tt]([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:\.([0-9]+))?)?{TIME_ZONE}", lambda g: day_ms(number(g(1)), number(g(2)), number(g(3))) + time_ms(g(4), g(5), g(6), g(7)) - zone(g), lambda g: F.locate("T", F.upper(s)) >= 11, needs="-")
-    rule("RFC2822Date", rf"{DAY_NAMES},\s*{DAY}\s+{MONTH_NAMES}\s+{YEAR}\s+{TIME}\s+(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):?[0-5][0-9])(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(g(1))) + time_ms(g(4), g(5), g(6), g(7)), lambda g: F.length(F.regexp_replace(s, "[^:]", "")) >= 2, needs=",")
+    rule("Geo", place, lambda s, g, now: float(g[1]), lambda s, g: abs(float(g[1])) < 90 and abs(float(g[2])) < 180, lambda s, g, now: float(g[2]), needs=",")
+    rule("Float", r"[+-]?[0-9]+\.(?:[0-9]+(?:[eE][+-]?[0-9]+)?)?|[+-]?[0-9]+[eE][+-]?[0-9]+", lambda s, g, now: float(s))
+    rule("DateMath", rf"now(?:[+-][0-9]+[yMwdhHms])*(?:/[yMwdhHms]{REST}*)?", lambda s, g, now: math_ms(s, now), needs="now")
+    rule("LogDate", rf"\s*{DAY_NAMES}\s+{MONTH_NAMES}\s+{DAY}\s+{TIME}\s+{YEAR}(?:\s{REST}*)?", lambda s, g, now: day_ms(g[7], month_of(g[1]), g[2]) + time_ms(*g.group(3, 4, 5, 6)), lambda s, g: s.count(":") >= 2, needs=":")
+    rule("ISO8601Date", rf"{YEAR}-{MONTH}-{DAY}[Tt]([01][0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(?:\.([0-9]+))?)?{TIME_ZONE}", lambda s, g, now: day_ms(*g.group(1, 2, 3)) + time_ms(*g.group(4, 5, 6, 7)) - zone_ms(*g.group(8, 9, 10)), lambda s, g: s.upper().find("T") >= 10, needs="-")
+    rule("RFC2822Date", rf"{DAY_NAMES},\s*{DAY}\s+{MONTH_NAMES}\s+{YEAR}\s+{TIME}\s+(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):?[0-5][0-9])(?:\s{REST}*)?", lambda s, g, now: day_ms(g[3], month_of(g[2]), g[1]) + time_ms(*g.group(4, 5, 6, 7)), lambda s, g: s.count(":") >= 2, needs=",")
     for tag, pattern, m, d in (("AmericanDate", rf"{MONTH}/{DAY}", 1, 2), ("EuropeanDate", rf"{DAY}/{MONTH}", 2, 1)):
         # A time that isn't one counts as midnight.
-        rule(tag, rf"{pattern}/{YEAR}(?: (?:{TIME}|[^/]*))?", lambda g, m=m, d=d: day_ms(number(g(3)), number(g(m)), number(g(d))) + time_ms(g(4), g(5), g(6), g(7)), needs="/")
-    rule("VerboseDate", rf"\s*{DAY_NAMES},?\s+the\s+{ORDINAL}\s+of\s+{MONTH_NAMES},?\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))), lambda g: F.length(F.regexp_replace(s, "[^,]", "")) >= 2, needs=",")
-    rule("FinancialDate", rf"\s*{ORDINAL}\s+{MONTH_NAMES}\s+{YEAR}(?:\s.*)?", lambda g: day_ms(number(g(3)), month_number(g(2)), number(F.regexp_extract(g(1), "[0-9]+", 0))), needs=" ")
-    month = lambda g: F.coalesce(g(2).try_cast("int"), month_number(g(3)))
-    day = lambda g: F.coalesce(g(4).try_cast("int"), F.lit(1))
-    inside = lambda y, m, d: d <= F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))
-    rule("FullDate", rf"{YEAR}-(?:{MONTH}|{MONTH_NAMES})-(?:{DAY}|{DAY_NAMES})", lambda g: day_ms(number(g(1)), month(g), day(g)), lambda g: inside(number(g(1)), month(g), day(g)), needs="-")
-    rule("GenericDate", rf"{YEAR}([-/.])(0[1-9]|1[0-2])\2(0[1-9]|[12][0-9]|3[01])(?: (?:{TIME}|.{{8,}}))?", lambda g: day_ms(number(g(1)), number(g(3)), number(g(4))) + time_ms(g(5), g(6), g(7), g(8)), lambda g: inside(number(g(1)), number(g(3)), number(g(4))) & ((F.length(s) == 10) | (F.length(F.regexp_replace(s, "[^:]", "")) >= 2)))
-    digits = F.regexp_replace(s, "^[+-]", "")
-    rule("Integer", "[+-]?[0-9]+", lambda g: F.when(F.length(digits) > 20, 0.0).otherwise(number_value(s)))
-    rule("Boolean", "true|false", lambda g: F.when(s == "true", 1.0).otherwise(0.0))
+        rule(tag, rf"{pattern}/{YEAR}(?: (?:{TIME}|[^/]*))?", lambda s, g, now, m=m, d=d: day_ms(g[3], g[m], g[d]) + time_ms(*g.group(4, 5, 6, 7)), needs="/")
+    ordinal = lambda g, day, month, year: day_ms(g[year], month_of(g[month]), re.match("[0-9]+", g[day])[0])
+    rule("VerboseDate", rf"\s*{DAY_NAMES},?\s+the\s+{ORDINAL}\s+of\s+{MONTH_NAMES},?\s+{YEAR}(?:\s{REST}*)?", lambda s, g, now: ordinal(g, 1, 2, 3), lambda s, g: s.count(",") >= 2, needs=",")
+    rule("FinancialDate", rf"\s*{ORDINAL}\s+{MONTH_NAMES}\s+{YEAR}(?:\s{REST}*)?", lambda s, g, now: ordinal(g, 1, 2, 3), needs=" ")
+    month = lambda g: g[2] or month_of(g[3])
+    rule("FullDate", rf"{YEAR}-(?:{MONTH}|{MONTH_NAMES})-(?:{DAY}|{DAY_NAMES})", lambda s, g, now: day_ms(g[1], month(g), g[4] or 1), lambda s, g: inside(g[1], month(g), g[4] or 1), needs="-")
+    rule("GenericDate", rf"{YEAR}([-/.])(0[1-9]|1[0-2])\2(0[1-9]|[12][0-9]|3[01])(?: (?:{TIME}|{REST}{{8,}}))?", lambda s, g, now: day_ms(*g.group(1, 3, 4)) + time_ms(*g.group(5, 6, 7, 8)), lambda s, g: inside(*g.group(1, 3, 4)) and (len(s) == 10 or s.count(":") >= 2))
+    rule("Integer", "[+-]?[0-9]+", lambda s, g, now: 0.0 if len(s.lstrip("+-")) > 20 else float(s))
+    rule("Boolean", "true|false", lambda s, g, now: float(s == "true"))
     rule("File", r"(?:/[A-Za-z0-9._~-]+)+/?", needs="/")
     rule("Null", "null")
     return out
 
 
-def result(tag: Column, n: Column, a: Column, b: Column) -> Column:
-    return F.struct(tag.alias("kind"), n.cast("bigint").alias("element_count"), a.cast("double").alias("numeric_value_1"), b.cast("double").alias("numeric_value_2"))
+RULES = table_of_rules()
+#: Rules by the first character, from which most can't begin.
+BEGINS = {"LogDate": SPACE + "MTWFS", "VerboseDate": SPACE + "MTWFS", "RFC2822Date": "MTWFS", "DateMath": "n", "Boolean": "tf", "Null": "n", "File": "/", "IPAddressV6": ":0123456789abcdefABCDEF", "FinancialDate": SPACE + "0123456789"}
+NUMERIC = "+-.0123456789"
 
 
-def scalar(s: Column, now_ms: Column) -> Column:
-    zero, one, out = F.lit(0.0), F.lit(1), None
-    for tag, fits, a, b in rules(s, now_ms):
-        value = result(F.lit(tag), one, a, b)
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out.otherwise(result(F.lit("String"), one, zero, zero))
+@functools.lru_cache(4096)
+def candidates(first: str) -> tuple[Rule, ...]:
+    return tuple(r for r in RULES if first in BEGINS.get(r.tag, NUMERIC))
 
 
-def tag_of(s: Column) -> Column:
-    """The tag alone; DateMath needs no clock for it."""
-    out = None
-    for tag, fits, _, _ in rules(s, F.lit(0)):
-        out = F.when(fits, tag) if out is None else out.when(fits, tag)
-    return out.otherwise("String")
+def typed(s: str):
+    """The rule that fits and its match; (None, None) for any other string."""
+    for rule in candidates(s[0]):
+        if rule.needs in s and (g := rule.pattern.fullmatch(s)) and (rule.also is None or rule.also(s, g)):
+            return rule, g
+    return None, None
 
 
-#: An element: quoted parts and anything but commas and brackets; nested arrays are unwrapped into their elements.
-ELEMENT = r'(?:"[^"]*"?|[^,"\[\]])+'
+def tag_of(s: str) -> str:
+    rule, _ = typed(s)
+    return rule.tag if rule else "String"
 
 
-def array(s: Column) -> Column:
+def array_of(s: str) -> tuple[str, int, float, float]:
     """The type of bracketed text: of one type, mixed, or String from the first unquoted element that is one."""
-    inner = F.substring(s, F.lit(2), F.length(s) - 2)
-    parts = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(ELEMENT), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    tags = F.transform(parts, tag_of)
-    bad = F.array_position(F.transform(F.arrays_zip(tags.alias("t"), parts.alias("p")), lambda x: (x["t"] == "String") & ~x["p"].startswith('"')), True)
-    first = F.element_at(tags, 1)
-    one = F.array_max(tags) == F.array_min(tags)
-    arrayed = F.when(first.isin(*sorted(ARRAYED)), F.concat(first, F.lit("Array"))).otherwise("Array")
-    zero = F.lit(0.0)
-    return (
-        F.when(F.size(parts) == 0, result(F.lit("Array"), F.lit(0), zero, zero))
-        .when(bad > 0, result(F.lit("String"), bad - 1, zero, zero))
-        .otherwise(result(F.when(one, arrayed).otherwise("Array"), F.size(parts), zero, zero))
-    )
+    parts = [p for x in ELEMENT.findall(s[1:-1]) if (p := x.strip(SPACE))]
+    tags = [tag_of(p) for p in parts]
+    if not parts:
+        return "Array", 0, 0.0, 0.0
+    for i, (t, p) in enumerate(zip(tags, parts, strict=True)):
+        if t == "String" and not p.startswith('"'):
+            return "String", i, 0.0, 0.0
+    return (f"{tags[0]}Array" if len(set(tags)) == 1 and tags[0] in ARRAYED else "Array"), len(parts), 0.0, 0.0
+
+
+def classified(s: str, now: float) -> tuple[str, int, float, float]:
+    if s[:1] == "[" and s[-1] == "]" and len(s) > 1:
+        return array_of(s)
+    rule, g = typed(s) if s else (None, None)
+    if rule is None:
+        return "String", 1, 0.0, 0.0
+    return rule.tag, 1, float(rule.value(s, g, now)) if rule.value else 0.0, float(rule.second(s, g, now)) if rule.second else 0.0
+
+
+RESULT = StructType([StructField("kind", StringType()), StructField("element_count", LongType()), StructField("numeric_value_1", DoubleType()), StructField("numeric_value_2", DoubleType())])
+
+
+@F.arrow_udf(RESULT)
+def of_batch(strings, clocks):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    done = [(None,) * 4 if s is None else classified(s, now) for s, now in zip(strings.to_pylist(), clocks.to_pylist(), strict=True)]
+    kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64())
+    columns = [pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)]
+    return pa.StructArray.from_arrays(columns, names=RESULT.names, mask=pc.is_null(strings))
 
 
 def classify(s: Column, now_ms: Column | None = None) -> Column:
@@ -152,6 +176,4 @@ def classify(s: Column, now_ms: Column | None = None) -> Column:
     clock of date arithmetic, by default the query's own. Empty text is a String; null gives null.
     """
     now = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
-    zero = F.lit(0.0)
-    bracketed = s.startswith("[") & s.endswith("]") & (F.length(s) > 1)
-    return F.when(s.isNull(), None).when(s == "", result(F.lit("String"), F.lit(1), zero, zero)).when(bracketed, array(s)).otherwise(scalar(s, now))
+    return of_batch(s, now.cast("double"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,7 +66,3 @@ def field_starts_with(fields: Column, name: str, prefix: str, case_insensitive:
 def fields_text(fields: Column) -> Column:
     """All values, joined by a space."""
     return F.array_join(F.transform(fields, lambda f: f["value"]), " ")
-
-
-def literal(s: str) -> str:
-    return re.escape(s)

@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values drawn to choose the bounds of ranges; the ranges are balanced, not the result, by the sample.
-DRAWN = 20_000
+from tessel.sources.tables import written
 
-
-def bounds(df: DataFrame, key: Column, parts: int) -> list:
-    """At most ``parts`` - 1 values that divide the rows into ranges of like size."""
-    keys = df.select(key.alias("k")).where("k IS NOT NULL")
-    n = keys.count()
-    if n < 2 * parts or parts < 2:
-        return []
-    drawn = sorted(r["k"] for r in keys.sample(min(1.0, DRAWN / n), seed=7).collect())
-    return sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+#: A number that Spark gives a row has its partition above so many bits, and its place in the partition below.
+PLACE = 33
 
 
 def ranked(df: DataFrame, key: str, *ties: str, ascending: bool = True, dedup: bool = False, parts: int | None = None) -> DataFrame:
-    """``df`` with ``rank``, from 1, in the order of ``key`` and then ``ties``.
+    """``df`` with ``rank``, from 1, in the order of ``key`` and then ``ties``; it replaces a column of that name.
 
-    Values fall into ranges by literal bounds; each range is ordered by itself and begins where the ranges before it
-    end. So no task sees more than a range, and a repeated run gives the same ranks. ``dedup`` keeps distinct
-    rows. NaN is the largest value. Nulls come first ascending and last descending.
+    Rows are divided into ranges by all that orders them, so that ties divide a value that very many rows share. Each range is
+    sorted by itself and written once; ranks are places in a range after the rows of the ranges before it. ``dedup`` keeps
+    distinct rows. NaN is the largest value. Nulls come first ascending and last descending.
     """
+    names = [c for c in df.columns if c.lower() != "rank"]
     rows = df.distinct() if dedup else df
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = bounds(rows, F.col(key), parts)
-    lits = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    range_ = F.lit(0) if lits is None else F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(lits, lambda c: c <= F.col(key))))
-    rows = rows.withColumn("range", range_ if ascending else -range_)
-    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (key,)] + [F.col(c).asc() for c in ties]
-    sizes = rows.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy("range").orderBy(*order)
-    joined = rows.join(F.broadcast(sizes.select("range", "before")), "range")  # one row per range
-    return joined.withColumn("rank", F.row_number().over(within) + F.coalesce("before", F.lit(0))).drop("range", "before")
+    rows = rows.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(key).alias("k"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    order = [F.col("k").asc() if ascending else F.col("k").desc(), *[F.col(f"t{i}").asc() for i in range(len(ties))]]
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("row", F.monotonically_increasing_id().alias("at"))
+    placed = written(placed).withColumn("part", F.shiftright("at", PLACE))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.col("at").bitwiseAND((1 << PLACE) - 1) + F.col("before") + 1
+    return placed.join(F.broadcast(sizes), "part").select(*[F.col("row")[c].alias(c) for c in names], rank.alias("rank"))
 
 
 def ranked_nan_last(df: DataFrame, key: str, *ties: str, ascending: bool = True) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The range of nulls, after that of NaN.
+NULLS = 2_000_000
 NAN, INF = float("nan"), float("inf")
 UINT32, INT64 = 4294967295, 9223372036854775807
 
@@ -75,14 +77,43 @@ def variance(v: Column) -> Column:
 
 def mean_deviation(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean absolute deviation about each group's mean, without NaN; NaN of nothing. Two aggregations and a join of groups."""
-    v = numbers(F.col(column))
-    means = df.groupBy(*by).agg(F.avg(v).alias("mean_"))
-    off = df.join(means, by).groupBy(*by).agg(F.coalesce(F.avg(F.abs(v - F.col("mean_"))), F.lit(NAN)).alias("mad"))
-    return off
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], numbers(F.col(column)).alias("v"))
+    means = rows.groupBy(*keys).agg(F.avg("v").alias("m"))
+    off = rows.join(means, keys).groupBy(*keys).agg(F.coalesce(F.avg(F.abs(F.col("v") - F.col("m"))), F.lit(NAN)).alias("mad"))
+    return off.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "mad")
 
 
-def percentiles(v: Column, ps: list[float]) -> Column:
-    """Exact percentiles with linear interpolation, in the order asked; NaN outside 0 to 100 and of nothing."""
+def percentiles(df: DataFrame, by: list[str], column: str, ps: list[float]) -> DataFrame:
+    """``by`` and ``p``, each group's exact percentiles with linear interpolation in the order asked; NaN outside 0 to 100.
+
+    Equal values are counted before anything is shuffled. Values fall into ranges on a logarithmic scale, running sums over a
+    group's ranges (some hundreds) give each range's first rank, and only within a range are values put in order: no
+    task holds a group, or sorts one. Nulls don't count; NaN is the largest value; a group of nulls alone has NaN.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
     inside = [p for p in ps if 0 <= p <= 100]
-    got = F.percentile(v, F.array(*[F.lit(p / 100) for p in inside])) if inside else None
-    return F.array(*[F.coalesce(got[inside.index(p)], F.lit(NAN)) if p in inside else F.lit(NAN) for p in ps])
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(column).cast("double").alias("v"))
+    v = F.col("v")
+    scale = F.when(F.isnan(v), 1e6).otherwise(F.floor(F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * 64))  # never falls as values grow
+    counts = rows.withColumn("range", scale.cast("int")).groupBy(*keys, "range", "v").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    # Nulls make a last range, so that a group of nothing else has a row; they are in no other's rank.
+    counts = counts.select(*keys, F.coalesce("range", F.lit(NULLS)).alias("range"), "v", "n")
+    starts = counts.groupBy(*keys, "range").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(*keys, "range", before.alias("before"), F.sum(F.when(F.col("range") < NULLS, F.col("n")).otherwise(0)).over(group).alias("total"))
+    here = Window.partitionBy(*keys, "range").orderBy("v")
+    ranks = counts.withColumn("end", F.sum("n").over(here))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "range")]
+    ranks = ranks.alias("a").join(starts.alias("b"), same).select("a.*", "b.before", "b.total")
+    ranks = ranks.select(*keys, "v", "total", (F.col("before") + F.col("end")).alias("end"), (F.col("before") + F.col("end") - F.col("n")).alias("start"))
+    at = [F.lit(p / 100) * (F.col("total") - 1) for p in inside]
+    picked = []
+    for i, x in enumerate(at):
+        for side, r in (("lo", F.floor(x)), ("hi", F.ceil(x))):
+            picked.append(F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("v"))).alias(f"{side}{i}"))
+    got = ranks.groupBy(*keys).agg(F.max("total").alias("total"), *picked)
+    value = lambda i: F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at[i] - F.floor(at[i])))
+    out = F.array(*[F.coalesce(value(inside.index(p)), F.lit(NAN)) if p in inside else F.lit(NAN) for p in ps])
+    return got.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], out.alias("p"))

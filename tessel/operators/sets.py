@@ -7,14 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be sent to every worker.
-SENT = 1_000_000
-
-
-def small(df: DataFrame, most: int = SENT) -> DataFrame:
-    """``df``, broadcast if it has at most ``most`` rows; a larger one is shuffled by the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
 
 def limited(df: DataFrame, most: int | None, ascending: bool = True) -> DataFrame:
     if most is None:
@@ -50,5 +42,5 @@ def dedup_doubles(df: DataFrame, column: str) -> DataFrame:
 
 
 def without_deleted(docs: DataFrame, deleted: DataFrame, id_: str) -> DataFrame:
-    """``docs`` without the deleted ids, which are broadcast if there are few enough."""
-    return docs.join(small(deleted.select(id_).distinct()), id_, "left_anti")
+    """``docs`` without the deleted ids. How they are sent is decided by their size at run time (adaptive execution)."""
+    return docs.join(deleted.select(id_), id_, "left_anti")

@@ -87,6 +87,9 @@ def posting_sql(column: str, flag: str) -> str:
 
 add("intersect_sorted_u32", lambda s, d: sets.intersect(postings(s, d, "l_partkey", "R"), postings(s, d, "l_partkey", "A")), f"{posting_sql('l_partkey', 'R')} INTERSECT ALL {posting_sql('l_partkey', 'A')}")
 add("intersect_sorted_u64", lambda s, d: sets.intersect(postings(s, d, "l_orderkey", "R"), postings(s, d, "l_orderkey", "A"), dedup=True), f"{posting_sql('l_orderkey', 'R')} INTERSECT {posting_sql('l_orderkey', 'A')}")
+add("intersect_sorted_u32_limited", lambda s, d: sets.intersect(postings(s, d, "l_partkey", "R"), postings(s, d, "l_partkey", "A"), dedup=True, most=40, ascending=False), f"SELECT id FROM ({posting_sql('l_partkey', 'R')} INTERSECT {posting_sql('l_partkey', 'A')}) ORDER BY id DESC LIMIT 40")
+add("set_difference_sorted_u32_limited", lambda s, d: sets.difference(postings(s, d, "l_orderkey", "R"), postings(s, d, "l_orderkey", "A"), dedup=True, most=25), "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') ORDER BY id LIMIT 25")
+add("union_sorted_u32_limited", lambda s, d: sets.union([postings(s, d, "l_suppkey", f) for f in "RAN"], most=30, ascending=False), "SELECT DISTINCT l_suppkey AS id FROM lineitem ORDER BY id DESC LIMIT 30")
 add("set_difference_sorted_u32", lambda s, d: sets.difference(postings(s, d, "l_orderkey", "R"), postings(s, d, "l_orderkey", "A")), f"SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 add("union_sorted_u32", lambda s, d: sets.union([postings(s, d, "l_suppkey", f) for f in "RAN"]), "SELECT DISTINCT l_suppkey AS id FROM lineitem")
 for _name, _col in (("dedup_sorted_u32", "l_suppkey"), ("dedup_sorted_u64", "l_orderkey")):
@@ -102,8 +105,10 @@ add("filter_range_f64", lambda s, d: filters.in_range(table(s, d, "lineitem").se
 add("filter_u32", lambda s, d: sets.without_deleted(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 add("filter_u32_by_u64_range", lambda s, d: filters.in_time_range(table(s, d, "events"), "event_id", "ts", F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")), "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 add("filter_counts_ge_threshold_u64", lambda s, d: filters.seen_at_least(table(s, d, "lineitem").select("l_partkey"), "l_partkey", 30), "SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) >= 30")
-add("filter_regex_terms", lambda s, d: filters.where_text(table(s, d, "part").select("p_partkey", "p_type"), text.matches_regex(F.col("p_type"), "^[A-Z]+ (AN|PL).*(TIN|STEEL)$"), "p_type"), "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[A-Z]+ (AN|PL).*(TIN|STEEL)$')")
-add("filter_wildcard_terms", lambda s, d: filters.where_text(table(s, d, "pages").select("page_id", "url"), text.matches_wildcard(F.col("url"), "http*://*.EXAMPLE.???/*", True), "url"), "SELECT page_id, url FROM pages WHERE regexp_full_match(lower(url), 'http.*://.*[.]example[.].../.*')")
+add("filter_counts_ge_threshold_u64_limited", lambda s, d: filters.seen_at_least(table(s, d, "lineitem").select("l_partkey"), "l_partkey", 30, most=12), "SELECT l_partkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) >= 30 ORDER BY l_partkey LIMIT 12")
+add("filter_u32_by_u64_range_limited", lambda s, d: filters.in_time_range(table(s, d, "events"), "event_id", "ts", F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), most=15), "SELECT event_id FROM (SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 15)")
+add("filter_regex_terms", lambda s, d: filters.where_text(table(s, d, "part").select("p_partkey", "p_name"), text.matches_regex(F.col("p_name"), "^(s|h)[a-z]+ .*(t|ring)$"), "p_name"), "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(s|h)[a-z]+ .*(t|ring)$')")
+add("filter_wildcard_terms", lambda s, d: filters.where_text(table(s, d, "pages").select("page_id", "url"), text.matches_wildcard(F.col("url"), "http*://*.EXAMPLE.?RG/*", True), "url"), "SELECT page_id, url FROM pages WHERE regexp_full_match(lower(url), 'http.*://.*[.]example[.].rg/.*')")
 add("match_prefix_strings", lambda s, d: filters.where_text(table(s, d, "documents").select("doc_id", "text"), text.starts_with(F.col("text"), "TH", True), "text").select("doc_id"), "SELECT doc_id FROM documents WHERE starts_with(lower(text), 'th')")
 add("match_exact_phrases", lambda s, d: filters.where_text(table(s, d, "documents").select("doc_id", "text"), text.has_phrase(F.col("text"), "the in"), "text").select("doc_id"), "SELECT doc_id FROM documents WHERE contains(text, 'the in')")
 EVENT = "event_id", "event_type", "props"
@@ -203,8 +208,8 @@ add_reduction("stdvar_f64", lambda: [F.round(reduce.variance(C("l_quantity")), 6
 add("mad_f64", lambda s, d: reduce.mean_deviation(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity").select("l_returnflag", F.round("mad", 6).alias("mad")), "SELECT l_returnflag, round(avg(abs(l_quantity - m)), 6) AS mad FROM lineitem JOIN (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1")
 add_reduction("present_f64", lambda: [reduce.present(C("value")).alias("present")], "max(CASE WHEN isnan(value) THEN 0 ELSE 1 END)::DOUBLE AS present", "events", "user_id")
 PS = [0.0, 5.0, 25.0, 50.0, 90.0, 99.9, 100.0]
-add("calculate_multi_percentiles_f64", lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(reduce.percentiles(C("l_extendedprice"), PS).alias("p")).select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(len(PS))]), "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{i}" for i, p in enumerate(PS)) + " FROM lineitem GROUP BY 1")
-add("calculate_percentiles_batch_f64", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.round(reduce.percentiles(C("value"), [95.0])[0], 6).alias("p95")), "SELECT user_id, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+add("calculate_multi_percentiles_f64", lambda s, d: reduce.percentiles(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", PS).select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(len(PS))]), "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{i}" for i, p in enumerate(PS)) + " FROM lineitem GROUP BY 1")
+add("calculate_percentiles_batch_f64", lambda s, d: reduce.percentiles(table(s, d, "events"), ["user_id"], "value", [95.0]).select("user_id", F.round(F.col("p")[0], 6).alias("p95")), "SELECT user_id, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 
 # --- series: each user's events in time order ---
 
@@ -325,10 +330,17 @@ FORMS = [
     ("date_format(ts, 'd') || CASE WHEN day(ts) IN (1, 21, 31) THEN 'st' WHEN day(ts) IN (2, 22) THEN 'nd' WHEN day(ts) IN (3, 23) THEN 'rd' ELSE 'th' END || date_format(ts, ' MMMM yyyy')", "'FinancialDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
     ("date_format(ts, \"'Mon' MMM dd HH:mm:ss yyyy\")", "'LogDate'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
     ("date_format(ts, \"'Mon', dd MMM yyyy HH:mm:ss '+0200'\")", "'RFC2822Date'", "1", "epoch_ms(date_trunc('second', ts))", "0"),
+    ("'Monday, the ' || date_format(ts, 'd') || CASE WHEN day(ts) IN (1, 21, 31) THEN 'st' WHEN day(ts) IN (2, 22) THEN 'nd' WHEN day(ts) IN (3, 23) THEN 'rd' ELSE 'th' END || date_format(ts, \" 'of' MMMM, yyyy\")", "'VerboseDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
+    ("date_format(ts, 'yyyy-MMM-dd')", "'FullDate'", "1", "epoch_ms(date_trunc('day', ts))", "0"),
+    ("date_format(ts, \"yyyy-MM-'Wed'\")", "'FullDate'", "1", "epoch_ms(date_trunc('month', ts))", "0"),
     ("concat('/', event_type, '/', event_id, '.log')", "'File'", "1", "0", "0"),
     ("CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END", "CASE WHEN event_id % 2 = 0 THEN 'Boolean' ELSE 'Null' END", "1", "1 - event_id % 2", "0"),
     ("concat('now+', event_id, 'h-1d/d')", "'DateMath'", "1", "1705276800000 + floor((event_id * 3600000 - 86400000 + 43200000) / 86400000.0::DOUBLE) * 86400000", "0"),
     ("concat('[', event_id, ', ', user_id, ',7]')", "'IntegerArray'", "3", "0", "0"),
+    ("concat('[\"', event_type, '\", \"', event_id, ',x\"]')", "'StringArray'", "2", "0", "0"),
+    ("concat('[true,[', event_id % 2 = 0, ',false]]')", "'BooleanArray'", "3", "0", "0"),
+    ("concat('[10.0.0.', event_id % 256, ', 10.0.0.1]')", "'IPAddressV4Array'", "2", "0", "0"),
+    ("concat('[', date_format(ts, 'yyyy-MM-dd'), ', ', date_format(ts, 'MM/dd/yyyy'), ']')", "'Array'", "2", "0", "0"),
     ("concat('[1.5, ', event_id, ']')", "'Array'", "2", "0", "0"),
     ("concat('[1, 2, ', event_type, ', 3]')", "'String'", "2", "0", "0"),
 ]

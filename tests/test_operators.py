@@ -1,6 +1,7 @@
 """Frames: multisets, ranks, as-of, NaN in aggregates, series and overlaps."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,8 +92,19 @@ def test_reductions_of_nan_and_nothing(spark):
     assert reduce.mean_deviation(grouped, ["g"], "v").first().mad == pytest.approx(4 / 3)
     big = ids(spark, [2**63 - 1] * 3, "v")
     assert int(one(big, reduce.sum_u64)) == 3 * (2**63 - 1) % 2**64
-    p = ids(spark, [1.0, 2.0, 3.0, 4.0], "v", "double").agg(reduce.percentiles(v, [50.0, -1.0, 100.0]).alias("p")).first().p
+    p = reduce.percentiles(ids(spark, [1.0, 2.0, 3.0, 4.0], "v", "double"), [], "v", [50.0, -1.0, 100.0]).first().p
     assert p[0] == 2.5 and math.isnan(p[1]) and p[2] == 4.0
+    rng = random.Random(1)
+    for _ in range(3):
+        rows = [(g, rng.choice([0.0, -0.0, 1e-9, -3.5, 7.25, 7.3, 1e12, -1e12, rng.gauss(0, 50)])) for g in (1, 2, None) for _ in range(rng.randint(1, 60))] + [(7, None), (2, None)]
+        got = {r.g: list(r.p) for r in reduce.percentiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", [0.0, 33.3, 75.0, 100.0]).collect()}
+        assert set(got) == {1, 2, None, 7} and all(math.isnan(x) for x in got[7])
+        for g in (1, 2, None):
+            own = sorted(x for k, x in rows if k == g and x is not None)
+            for q, x in zip((0.0, 33.3, 75.0, 100.0), got[g]):
+                at = q / 100 * (len(own) - 1)
+                lo, hi = own[math.floor(at)], own[math.ceil(at)]
+                assert x == pytest.approx(lo + (hi - lo) * (at - math.floor(at)))
 
 
 def test_series(spark):
