@@ -1,21 +1,18 @@
-"""Frames whose own columns can't clash with an operator's, and tables written in the shared folder."""
+"""Frames whose own columns can't clash with an operator's, and what workers keep and give back."""
 
 from __future__ import annotations
 
-import atexit
 import functools
 import gc
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import release, table, written
 
-#: Whether a query's shuffle files are deleted at its end, rather than when the driver comes to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["Packed", "find", "kept_in_worker", "lean", "partitions", "release", "table", "trimmed", "written"]
 
 
 class Packed:
@@ -53,49 +50,6 @@ def find(names: list[str], name: str) -> int:
     raise ValueError(f"no column {name!r} among {names}")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session without one gets a folder made here."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table written in the shared folder: it cuts lineage and outlives the loss of any executor.
-
-    Its shuffle files go as soon as the table is there; the table goes with ``release`` or at the driver's end.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessel-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    atexit.register(removed, spark, path)
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for t in tables:
-        removed(t.sparkSession, t.written_at)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        to = jvm.org.apache.hadoop.fs.Path(path)
-        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
-
-
 def kept_in_worker() -> dict:
     """What a Python worker keeps from one task to the next, such as a loaded tokenizer."""
     return sys.modules.setdefault("tessel_kept", types.ModuleType("tessel_kept")).__dict__.setdefault("kept", {})
@@ -105,10 +59,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lean(task):
     """A generator of Arrow batches that gives its memory back to the machine at its end: workers live on, and would keep it."""
 
