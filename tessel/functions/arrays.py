@@ -4,6 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+PLACES = ArrayType(IntegerType())
+
+
+def places(a, b, kept):
+    """For each pair of arrays, the places in the first that ``kept`` gives of both arrays' values, numbered alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if not (x.is_valid and y.is_valid):
+            out.append(None)
+            continue
+        codes = pa.concat_arrays([x.values, y.values]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        x, y = codes[: len(x.values)], codes[len(x.values) :]
+        out.append(np.flatnonzero(kept(x, y) & (x >= 0)).astype(np.int32))  # null equals nothing
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+@F.arrow_udf(PLACES)
+def unshared(a, b):
+    import numpy as np
+
+    return places(a, b, lambda x, y: ~np.isin(x, y))
+
+
+@F.arrow_udf(PLACES)
+def matched(a, b):
+    import numpy as np
+
+    def kept(x, y):
+        order = np.argsort(x, kind="stable")
+        there = x[order]
+        first = np.flatnonzero(np.append(True, there[1:] != there[:-1])) if len(there) else there
+        number = np.zeros(len(x), np.int64)  # which of its value's repeats a place has
+        number[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        counts = np.bincount(y[y >= 0], minlength=max(x.max(initial=-1), 0) + 1)
+        return number < counts[x]
+
+    return places(a, b, kept)
+
+
+def at_places(a: Column, where: Column) -> Column:
+    return F.transform(where, lambda i: F.get(a, i))
 
 
 def limited(a: Column, most: int | None) -> Column:
@@ -14,17 +60,12 @@ def intersect(a: Column, b: Column, dedup: bool = True, ascending: bool = True,
     """Values in both; without ``dedup``, as often as in the array that has fewer."""
     if dedup:
         return limited(F.sort_array(F.array_intersect(a, b), ascending), most)
-    fewer = F.transform(F.array_intersect(a, b), lambda v: F.array_repeat(v, F.least(count(a, v), count(b, v))))
-    return limited(F.sort_array(F.flatten(fewer), ascending), most)
-
-
-def count(a: Column, v: Column) -> Column:
-    return F.size(F.filter(a, lambda x: x == v))
+    return limited(F.sort_array(at_places(a, matched(a, b)), ascending), most)
 
 
 def difference(a: Column, b: Column, dedup: bool = False, ascending: bool = True, most: int | None = None) -> Column:
     """Values of ``a`` that ``b`` lacks, repeats kept unless ``dedup``."""
-    kept = F.array_except(a, b) if dedup else F.filter(a, lambda x: ~F.array_contains(b, x))
+    kept = F.array_except(a, b) if dedup else at_places(a, unshared(a, b))
     return limited(F.sort_array(kept, ascending), most)
 
 

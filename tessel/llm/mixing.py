@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.frames import Packed, written
+from tessel.llm.frames import Packed, release, written
 
-#: Buckets of the shuffled order in each source, and of virtual time; only running sums within a bucket are sequential.
+#: Slices of virtual time, of which one is summed document by document.
 BUCKETS = 4096
+#: Documents of a bucket of the shuffled order, about; only running sums within a bucket are sequential.
+BUCKET_ROWS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -34,8 +36,8 @@ def mix_sources(
     to the others.
 
     No running sum is sequential over more than one bucket: sums over (source, bucket of the shuffled order) give every
-    bucket's start, and sums over buckets of virtual time find the one bucket in which the budget ends; only that
-    one is summed document by document.
+    bucket's start, and sums over slices of virtual time find the one slice in which the budget ends; only that one is summed
+    document by document. Buckets are as many as the rows ask for, so that their size doesn't grow with a source.
 
     Columns are those of ``docs`` and ``virtual_time``, which replaces an input column of that name. A null source is a
     source of its own with the default weight. A source whose weight is 0 or less gives nothing. Null and empty texts
@@ -49,9 +51,15 @@ def mix_sources(
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string"), F.col(text)).cast("binary"))
     rows = p.frame.select("row", F.col(id_).alias("id"), F.col(source).alias("source"), digest.alias("at"), words(F.col(text)).alias("tokens"))
     rows = rows.withColumn("weight", weight).where("weight > 0")
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit(""))).withColumn("bucket", F.conv(F.substring("at", 1, 3), 16, 10).cast("int"))
-    thin = written(rows.select("key", "bucket", "weight", "source", "at", "id", "tokens"))
-    # Starts of the buckets of each source: at most sources x BUCKETS rows.
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("")))
+    thin = first = written(rows.select("key", "weight", "source", "at", "id", "tokens"))
+    # As many hexadecimal digits of the digest as give buckets of that size, were all rows of one source.
+    digits, n = 1, thin.count()
+    while 16**digits * BUCKET_ROWS < n:
+        digits += 1
+    bucket = F.conv(F.substring("at", 1, digits), 16, 10).cast("bigint")
+    thin, rows = thin.withColumn("bucket", bucket), rows.withColumn("bucket", bucket)
+    # Starts of the buckets of each source: a row for each, which is a share of 1 / BUCKET_ROWS of the rows and some.
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = thin.groupBy("key", "bucket", "weight").agg(F.sum("tokens").alias("sum"))
     sums = written(sums.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0))))
@@ -66,6 +74,7 @@ def mix_sources(
 
     order = [F.col("time"), F.col("source").asc_nulls_first(), F.col("at"), F.col("id").asc_nulls_last()]
     thin = written(timed(thin).select(F.floor(F.col("time") / width).alias("slice"), "time", "source", "at", "id", "tokens"))
+    release(first)
     spent, edge = 0, None
     for r in thin.groupBy("slice").agg(F.sum("tokens").alias("sum")).orderBy("slice").collect():  # at most BUCKETS + 1 rows
         if spent + r["sum"] > budget:

@@ -303,6 +303,11 @@ def add_array(name: str, value: Callable[[], Column], sql: str) -> None:
 
 
 add_array("array_intersect_sorted", lambda: arrays.intersect(C("a"), C("b")), "list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x))))")
+add_array("array_intersect_sorted_bag", lambda: arrays.intersect(C("a"), C("b"), dedup=False), "list_sort(flatten(list_transform(list_distinct(list_filter(a, lambda x: list_contains(b, x))), lambda v: list_transform(range(least(len(list_filter(a, lambda x: x = v)), len(list_filter(b, lambda x: x = v)))), lambda z: v))))")
+add_array("array_sort", lambda: arrays.sort(F.concat(C("a"), C("b")), dedup_=True, ascending=False), "list_reverse_sort(list_distinct(list_concat(a, b)))")
+add_array("array_argsort", lambda: arrays.argsort(F.reverse(F.array_distinct(C("b")))), "list_reverse(range(len(list_distinct(b))))")
+add_array("array_is_sorted", lambda: arrays.is_sorted(F.concat(C("a"), F.slice(C("b"), -1, 1))), "list_concat(a, b[-1:]) = list_sort(list_concat(a, b[-1:]))")
+add_array("array_after_last_at_most", lambda: arrays.after_last_at_most(C("a"), F.lit(500)), "len(list_filter(a, lambda x: x <= 500))")
 add_array("array_difference_sorted", lambda: arrays.difference(C("a"), C("b")), "list_filter(a, lambda x: NOT list_contains(b, x))")
 add_array("array_union_sorted", lambda: arrays.union([C("a"), C("b")]), "list_sort(list_distinct(list_concat(a, b)))")
 add_array("array_dedup_sorted", lambda: arrays.dedup(C("a")), "list_sort(list_distinct(a))")

@@ -1,5 +1,7 @@
 """The whole pipeline, stage by stage, against plain versions."""
 
+import random
+
 import brute
 import corpus_pipeline
 from tessel.llm import decontaminate, mixing, ngram_join, quality, wavelet
@@ -37,3 +39,34 @@ def test_stages(spark, small_dir):
             got |= {d: tokens[a:b] for d, a, b in zip(r.doc_ids, edges, edges[1:])}
         assert got == {i: [*encoder.encode_ordinary(rows[i].text), 50256] for i in order}
     assert decontaminate.Q == 10
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, ties, clashing columns and empty tables go through every stage."""
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, shared = text(40), text(80)
+    rows = [(i, text(60), "en", "src0", 1, "x", 7) for i in range(20)]
+    rows += [(30, shared, "en", "s", 1, "x", 7), (31, shared + " more", None, None, None, None, None), (31, shared + " more", None, None, None, None, None), (32, text(30) + " " + passage, "en", "s", 1, "x", 7)]
+    rows += [(None, text(50), "en", None, 1, "x", 7), (40, None, "en", "s", 1, "x", 7), (None, None, None, None, None, None, None), (41, "", "en", "s", 0, "x", 7), (42, " \n", "en", "s", 2, "x", 7), (5, rows[5][1], "en", "src0", 1, "x", 7)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, TEXT string, row int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    good = stages["quality classifier"](spark, docs, str(tmp_path))
+    assert ids(good) == sorted([*range(20), 5, 30, 31, 31, 32, None], key=repr)  # labels of one class: what has words stays
+    one = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert ids(one) == sorted([*range(20), 5, 30, 32, None, 40, None, 41, 42], key=repr)
+    clean = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert ids(clean) == sorted([i for i, *_ in rows if i != 32], key=repr)
+    mixed = stages["mixing sources to target weights"](spark, docs, str(tmp_path))
+    assert {*ids(mixed)} >= {40, 41, 42, None} and mixed.count() < len(rows)
+    packed = stages["token-ID / binary output"](spark, docs, str(tmp_path)).collect()
+    assert sorted((d for r in packed for d in r.doc_ids), key=repr) == sorted([r[0] for r in rows if r[1] is not None], key=repr)
+    for stage in (good, one, clean, mixed):
+        assert stage.columns == list(corpus_pipeline.COLUMNS)
+    docs.drop("TEXT", "row").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
