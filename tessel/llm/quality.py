@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessel.llm.frames import Packed, lean
+from tessel.llm.frames import Packed, lean, release, written
 from tessel.llm.tokens import lots
 
 #: Words of a passage.
@@ -265,21 +265,11 @@ def halves_of(good):
     return [np.flatnonzero(half == k) for k in (0, 1)]
 
 
-def fitted(d: Passages, shapes, good, number: int):
-    """Of number 0 and 1, the logits of this half's good texts by a model of the other half; of 2, the weights from all texts."""
-    if number == 2:
-        return fit(d, shapes, good)
-    halves, first = halves_of(good), d.bags.cumsum() - d.bags
-    mine, other = halves[number], halves[1 - number]
-    w = fit(d.of(other), shapes[spread(first[other], d.bags[other])], good[other])
-    return forward(w, d.of(mine), shapes[spread(first[mine], d.bags[mine])])[-1][good[mine]]
-
-
-def model_of(d: Passages, good, spark=None, loss: float = LOSS) -> Model | None:
-    """A model of labelled texts, or None where a class has fewer than two texts with words.
+def fitted(d: Passages, good, number: int):
+    """One of the three fits to labelled texts, or None where a class has fewer than two texts with words.
 
-    The threshold comes from scoring each half of the texts by a model of the other. With a session, the three fits are three
-    tasks.
+    Of number 0 and 1, the logits of this half's good texts by a model of the other half; of 2, all of a
+    model of all texts but its threshold.
     """
     import numpy as np
 
@@ -296,27 +286,52 @@ def model_of(d: Passages, good, spark=None, loss: float = LOSS) -> Model | None:
         raw[spread(first[mine], d.bags[mine])] = np.concatenate((own.shapes, priors(odds_of(d.of(other), good[other]), own)), axis=1)
     mean, scale = raw.mean(0), raw.std(0) + 1e-6
     shapes = ((raw - mean) / scale).astype(float)
-    if spark is None:
-        done = [fitted(d, shapes, good, k) for k in range(3)]
-    else:
-        shared = spark.sparkContext.broadcast((d, shapes, good))
+    if number == 2:
+        return {"weights": {k: v.astype(np.float32) for k, v in fit(d, shapes, good).items()}, "odds": odds_of(d, good), "mean": mean, "scale": scale}
+    mine, other = halves[number], halves[1 - number]
+    w = fit(d.of(other), shapes[spread(first[other], d.bags[other])], good[other])
+    return forward(w, d.of(mine), shapes[spread(first[mine], d.bags[mine])])[-1][good[mine]]
 
-        def task(batches):
-            import pyarrow as pa
 
-            for b in batches:
-                for k in b.column("id").to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(fitted(*shared.value, k))], pa.binary())], names=["id", "got"])
+def model_of(fits: list, loss: float = LOSS) -> Model | None:
+    """The model from its three fits; the threshold comes from scoring each half of the texts by a model of the other."""
+    import numpy as np
 
-        rows = spark.range(3, numPartitions=3).mapInArrow(lean(task), "id long, got binary").collect()
-        done = [pickle.loads(r["got"]) for r in sorted(rows, key=lambda r: r["id"])]
-    cut = 1 / (1 + math.exp(-float(np.quantile(np.concatenate(done[:2]), loss))))
-    return Model({k: v.astype(np.float32) for k, v in done[2].items()}, odds_of(d, good), mean, scale, min(0.5, cut))
+    one, other, whole = fits
+    if whole is None:
+        return None
+    cut = 1 / (1 + math.exp(-float(np.quantile(np.concatenate((one, other)), loss))))
+    return Model(**whole, threshold=min(0.5, cut))
 
 
 def train(texts: list[str], good, loss: float = LOSS) -> Model | None:
-    """``model_of`` texts at hand."""
-    return model_of(Encoder().encode([t or "" for t in texts]), good, None, loss)
+    """A model of texts at hand."""
+    d = Encoder().encode([t or "" for t in texts])
+    return model_of([fitted(d, good, k) for k in range(3)], loss)
+
+
+def fits_of(number: int):
+    """The task of a fit: it has all labelled texts, as passages, and gives the fit."""
+
+    @lean
+    def task(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [pa.Table.from_batches([b]) for b in batches]
+        if not parts:
+            return
+        found = pa.concat_tables(parts).sort_by("id")
+        n = np.array([len(x) for x in found.column("words")], np.int64)
+        bags = -(-n // PASSAGE)
+        flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.values.to_numpy() for x in found.column(c))])
+        at = np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags)
+        starts = np.repeat(np.cumsum(n) - n, bags) + at * PASSAGE
+        d = Passages(flat("words", np.int32), flat("pairs", np.int32), starts, flat("shapes", np.float32).reshape(-1, SHAPES), bags)
+        got = fitted(d, np.array(found.column("good").to_pylist()) == 1, number)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["number", "got"])
+
+    return task
 
 
 def probabilities(model: Model, d: Passages):
@@ -379,10 +394,9 @@ def trained(docs: DataFrame, labels: DataFrame, training: int = TRAINING, text:
     """A model from the labels of at most ``training`` documents; good are those of quality 1 that aren't toxic.
 
     A document with several labels has the worst of them, and of rows that share an identifier the one of the least text is
-    fitted. Labels without an identifier or a quality don't count. Texts are encoded by the workers, and the fits are tasks.
+    fitted. Labels without an identifier or a quality don't count. Texts are encoded by the workers, and the three fits are three
+    tasks that read the encoded texts, so that the driver sees only what they give.
     """
-    import numpy as np
-
     lab = Packed(labels, id_, "quality", "toxic").frame
     lab = lab.where(F.col(id_).isNotNull() & F.col("quality").isNotNull())
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
@@ -391,16 +405,12 @@ def trained(docs: DataFrame, labels: DataFrame, training: int = TRAINING, text:
     own = Packed(docs, text, id_).frame.select(F.col(id_).alias("id"), F.col(text).alias("text"))
     found = own.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).groupBy("id", "good").agg(F.min("text").alias("text"))
     kind = dict(found.dtypes)["id"]
-    found = found.select("id", "good", "text").mapInArrow(features, f"id {kind}, good int, words array<int>, pairs array<int>, shapes array<float>").toArrow()
-    found = found.sort_by("id").combine_chunks()  # at most ``training`` rows
-    words = found.column("words")
-    n = np.array([len(x) for x in words], np.int64)
-    bags = -(-n // PASSAGE)
-    flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.values.to_numpy() for x in found.column(c))])
-    number = np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags)
-    starts = np.repeat(np.cumsum(n) - n, bags) + number * PASSAGE
-    d = Passages(flat("words", np.int32), flat("pairs", np.int32), starts, flat("shapes", np.float32).reshape(-1, SHAPES), bags)
-    return model_of(d, np.array(found.column("good").to_pylist()) == 1, docs.sparkSession)
+    found = found.select("id", "good", "text").mapInArrow(features, f"id {kind}, good int, words array<int>, pairs array<int>, shapes array<float>")
+    found = written(found)  # at most ``training`` rows, all of which each fit reads
+    one, other, whole = (found.coalesce(1).mapInArrow(fits_of(k), "number int, got binary") for k in range(3))
+    got = {r["number"]: pickle.loads(r["got"]) for r in one.unionByName(other).unionByName(whole).collect()}
+    release(found)
+    return model_of([got.get(k) for k in range(3)])
 
 
 def score_quality(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

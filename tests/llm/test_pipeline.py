@@ -68,5 +68,5 @@ def test_stages_on_edges(spark, tmp_path):
     assert sorted((d for r in packed for d in r.doc_ids), key=repr) == sorted([r[0] for r in rows if r[1] is not None], key=repr)
     for stage in (good, one, clean, mixed):
         assert stage.columns == list(corpus_pipeline.COLUMNS)
-    docs.drop("TEXT", "row").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
