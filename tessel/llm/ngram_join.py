@@ -682,8 +682,10 @@ def components(pairs: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")
-        edges = written(down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
+        after = written(down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        release(edges)
+        edges = after
+        now =edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if now == before:
             break
         before = now
