@@ -310,28 +310,25 @@ def train(texts: list[str], good, loss: float = LOSS) -> Model | None:
     return model_of([fitted(d, good, k) for k in range(3)], loss)
 
 
-def fits_of(number: int):
-    """The task of a fit: it has all labelled texts, as passages, and gives the fit."""
-
-    @lean
-    def task(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        parts = [pa.Table.from_batches([b]) for b in batches]
-        if not parts:
-            return
-        found = pa.concat_tables(parts).sort_by("id")
-        n = np.array([len(x) for x in found.column("words")], np.int64)
-        bags = -(-n // PASSAGE)
-        flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.values.to_numpy() for x in found.column(c))])
-        at = np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags)
-        starts = np.repeat(np.cumsum(n) - n, bags) + at * PASSAGE
-        d = Passages(flat("words", np.int32), flat("pairs", np.int32), starts, flat("shapes", np.float32).reshape(-1, SHAPES), bags)
-        got = fitted(d, np.array(found.column("good").to_pylist()) == 1, number)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["number", "got"])
+@lean
+def fits(batches: Iterator) -> Iterator:
+    """A fit, from rows with its number and all labelled texts as passages."""
+    import numpy as np
+    import pyarrow as pa
 
-    return task
+    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    found = pa.concat_tables(parts).sort_by("id")
+    n = np.array([len(x) for x in found.column("words")], np.int64)
+    bags = -(-n // PASSAGE)
+    flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(x.values.to_numpy() for x in found.column(c))])
+    at = np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags)
+    starts = np.repeat(np.cumsum(n) - n, bags) + at * PASSAGE
+    d = Passages(flat("words", np.int32), flat("pairs", np.int32), starts, flat("shapes", np.float32).reshape(-1, SHAPES), bags)
+    number = found.column("number")[0].as_py()
+    got = fitted(d, np.array(found.column("good").to_pylist()) == 1, number)
+    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["number", "got"])
 
 
 def probabilities(model: Model, d: Passages):
@@ -407,8 +404,8 @@ def trained(docs: DataFrame, labels: DataFrame, training: int = TRAINING, text:
     kind = dict(found.dtypes)["id"]
     found = found.select("id", "good", "text").mapInArrow(features, f"id {kind}, good int, words array<int>, pairs array<int>, shapes array<float>")
     found = written(found)  # at most ``training`` rows, all of which each fit reads
-    one, other, whole = (found.coalesce(1).mapInArrow(fits_of(k), "number int, got binary") for k in range(3))
-    got = {r["number"]: pickle.loads(r["got"]) for r in one.unionByName(other).unionByName(whole).collect()}
+    rows = found.withColumn("number", F.explode(F.array(*map(F.lit, range(3))))).repartitionById(3, F.col("number")).mapInArrow(fits, "number int, got binary")
+    got = {r["number"]: pickle.loads(r["got"]) for r in rows.collect()}
     release(found)
     return model_of([got.get(k) for k in range(3)])
 
