@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -16,14 +17,19 @@ N, THRESHOLD = 3, 0.55
 LEVELS = (512, 64, 8, 1)
 #: Rows up to which a table of keys, and one of pivots' grams, is sent to every worker rather than shuffled: at most some 50 MB.
 SENT, SENT_GRAMS = 500_000, 200_000
+#: Levels of one pivot in so many documents or fewer are counted: each document's overlap with every pivot. Pivots' grams, about,
+#: and hits, that a worker holds at once.
+COUNTED, HELD, HITS = 64, 2_000_000, 4_000_000
 #: Members of a class, about, that are spread over its pairs at once, and of a cell that are held at once.
 BLOCK, CELL = 1000, 1500
+#: Members of a cell from which a gram has a column of the matrix; such columns, and rows to join, that are multiplied at once.
+COLUMN, COLUMNS, ROWS = 16, 2048, 1000
 #: Bits of a signature, from which an upper bound of two documents' overlap follows.
 SIGNATURE = 2048
 #: Grams, about, and documents, at most, that are counted together before any is sent.
 LOT, LOT_DOCS = 1_000_000, 30_000
-#: What a row is in a block of a region: one of its members; one that members are joined with; the pivot, for distances only.
-INSIDE, OUTSIDE, ASIDE = 0, 1, 2
+#: What a row is in a block of a region: one of its members; one that members are joined with.
+INSIDE, OUTSIDE = 0, 1
 
 
 def gram_sets(texts: list[str], n: int) -> list:
@@ -390,31 +396,146 @@ def distances(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(key), pa.array(d)], names=["pivot", "key", "d"])
 
 
+@lean
+def counted(batches: Iterator, held, least: float) -> Iterator:
+    """Pairs of a pivot and a document whose Jaccard similarity is ``least`` or more, with their distance.
+
+    ``held`` has the pivots' keys and sizes, their distinct grams, and for each of these where its pivots begin in a list of them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    pivots, pivot_sizes, known, begins, owners = held.value
+    for b in batches:
+        key, size = b.column("key").to_numpy(), b.column("size").to_numpy()
+        offsets, flat = lists(b, "grams")
+        at = np.searchsorted(known, flat)
+        at[at == len(known)] = 0
+        there = np.flatnonzero(known[at] == flat)
+        at, doc = at[there], np.searchsorted(offsets, there, side="right") - 1
+        hits = begins[at + 1] - begins[at]
+        before = np.append(0, np.cumsum(hits))
+        ends = np.searchsorted(doc, np.arange(len(key) + 1))  # of each document's grams among those found
+        first = 0
+        while first < len(key):
+            last = int(np.searchsorted(before[ends], before[ends[first]] + HITS, side="right")) - 1
+            last = min(max(last, first + 1), len(key))
+            a, z = ends[first], ends[last]
+            n = hits[a:z]
+            pivot = owners[np.repeat(begins[at[a:z]] - (before[a:z] - before[a]), n) + np.arange(before[z] - before[a])]
+            both, overlap = np.unique(np.repeat(doc[a:z], n) * len(pivots) + pivot, return_counts=True)
+            d, p = both // len(pivots), both % len(pivots)
+            j = overlap / (size[d] + pivot_sizes[p] - overlap)
+            good = (j >= least - 1e-9) & (key[d] != pivots[p])
+            yield pa.RecordBatch.from_arrays([pa.array(pivots[p[good]]), pa.array(key[d[good]]), pa.array(1 - j[good])], names=["pivot", "key", "least"])
+            first = last
+
+
+def near_pivots(core: DataFrame, is_pivot, least: float) -> list[DataFrame]:
+    """Written pairs of pivots and other documents of at least that similarity, over 0: ``pivot``, ``key``, their distance ``least``.
+
+    Pivots' grams go to the workers, in as many passes as their number asks for, so that nothing is shuffled and each overlap
+    is counted in full.
+    """
+    import numpy as np
+
+    pivots = written(core.where(is_pivot).select("key", "size", "grams"))
+    passes = max(1, -(-(pivots.agg(F.sum(F.size("grams"))).first()[0] or 0) // HELD))
+    out = []
+    for number in range(passes):
+        some = pivots.where(F.pmod(F.xxhash64("key", F.lit("pass")), F.lit(passes)) == number).toArrow().combine_chunks()
+        for some in some.to_batches():  # one, or none
+            offsets, flat = lists(some, "grams")
+            order = np.argsort(flat, kind="stable")
+            known, begins = np.unique(flat[order], return_index=True)
+            owners = np.repeat(np.arange(some.num_rows), np.diff(offsets))[order]
+            arrays = (some.column("key").to_numpy(), some.column("size").to_numpy().astype(np.int64), known, np.append(begins, len(flat)).astype(np.int32), owners.astype(np.int32))
+            held = core.sparkSession.sparkContext.broadcast(arrays)
+            found = core.select("key", "size", "grams").mapInArrow(lambda it, held=held: counted(it, held, least), "pivot long, key long, least double")
+            out.append(written(found))
+            held.destroy()
+    release(pivots)
+    return out or [written(core.select(F.col("key").alias("pivot"), "key", F.lit(0.0).alias("least")).where("false"))]
+
+
 class Block:
-    """Members of a cell, and how many documents each is linked to."""
+    """Members of a block of a cell, and how many documents each is linked to."""
 
     def __init__(self):
+        self.parts: list[tuple] = []
+        self.keys = None
+
+    def add(self, *part) -> None:
+        """Keys, sizes, multiplicities, lengths and grams of some members."""
+        self.parts.append(part)
+
+    def close(self) -> None:
+        """Makes the matrix of members and grams: bits for grams of many members, lists of members for the others."""
         import numpy as np
 
-        self.keys, self.grams, self.sizes, self.mults, self.d, self.n = [], [], [], [], [], []
-        self.root: list[int] = []
-        self.pivot_grams, self.pivot_size = np.zeros(0, np.int64), 0
+        self.keys, self.sizes, self.mults, lens, flat = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts = []
+        self.n = np.zeros(len(self.keys), np.int64)
+        self.root = np.arange(len(self.keys))
+        owner = np.repeat(np.arange(len(self.keys)), lens)
+        order = np.argsort(flat, kind="stable")
+        self.known, first, counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owners, self.first = owner[order], np.append(first, len(flat))
+        self.column = np.where(counts >= COLUMN, np.cumsum(counts >= COLUMN) - 1, -1)
+        self.bits = np.zeros((len(self.keys), int((counts >= COLUMN).sum())), bool)
+        column = np.repeat(self.column, counts)
+        self.bits[self.owners[column >= 0], column[column >= 0]] = True
+
+    def overlaps(self, lens, flat):
+        """How many grams each member has in common with each of these documents."""
+        import numpy as np
+
+        both = np.zeros((len(self.keys), len(lens)), np.float32)  # exact up to 16 million
+        if not len(flat):
+            return both
+        at = np.searchsorted(self.known, flat)
+        at[at == len(self.known)] = 0
+        there = self.known[at] == flat
+        at, doc = at[there], np.repeat(np.arange(len(lens)), lens)[there]
+        column = self.column[at]
+        often = column >= 0
+        for c in range(0, self.bits.shape[1], COLUMNS):
+            mine = self.bits[:, c : c + COLUMNS]
+            here = often & (column >= c) & (column < c + COLUMNS)
+            if here.any():
+                theirs = np.zeros((mine.shape[1], len(lens)), np.float32)
+                theirs[column[here] - c, doc[here]] = 1
+                both += mine.astype(np.float32) @ theirs
+        at, doc = at[~often], doc[~often]
+        n = self.first[at + 1] - self.first[at]
+        member = self.owners[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both += np.bincount(member * len(lens) + np.repeat(doc, n), minlength=both.size).reshape(both.shape)
+        return both
+
+    def similar(self, sizes, lens, flat):
+        import numpy as np
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
+        both = self.overlaps(lens, flat).astype(np.float64)
+        return both / np.maximum(1, self.sizes[:, None] + sizes[None, :] - both)
+
+    def union(self, good) -> None:
+        """Joins the members that are linked to one document."""
+        import numpy as np
 
-    def union(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.root[max(i, j)] = min(i, j)
+        low = np.where(good, self.root[:, None], len(self.root)).min(axis=0)
+        high = np.where(good, self.root[:, None], -1).max(axis=0)
+        for i in np.flatnonzero(low < high):
+            roots = np.unique(self.root[good[:, i]])
+            if len(roots) > 1:
+                self.root[np.isin(self.root, roots)] = roots[0]
 
 
 @lean
 def joined(batches: Iterator, r: float, links: bool) -> Iterator:
-    """The join of regions: members of a block of the cell, which come first, against members, other blocks and window.
+    """The join of regions: members of a block of the cell, which come first, against each other, other blocks and window.
 
-    Pairs (x, y, jaccard), or, with ``links``, rows (x, y, n): x has n more links, and is in one group with y.
+    Pairs (x, y, jaccard), or, with ``links``, rows (x, y, n): x has n more links, and is in one group with y. Overlaps of many
+    documents with many members are products of matrices, so that a pair costs no pass over its grams.
     """
     import numpy as np
     import pyarrow as pa
@@ -424,80 +545,83 @@ def joined(batches: Iterator, r: float, links: bool) -> Iterator:
     def batch(x, y, v):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((x, y, v), kinds, strict=True)], names=["x", "y", "v"])
 
+    def pairs(j, good, cell, key):
+        x, y = np.nonzero(good)
+        return batch(cell.keys[x], key[y], j[x, y])
+
+    def closed(cell: Block):
+        """The block with its members' pairs among themselves, and these."""
+        lens, flat = np.concatenate([p[3] for p in cell.parts]), np.concatenate([p[4] for p in cell.parts])
+        cell.close()
+        ends = np.append(0, np.cumsum(lens))
+        for a in range(0, len(lens), ROWS):
+            z = min(a + ROWS, len(lens))
+            j = cell.similar(cell.sizes[a:z], lens[a:z], flat[ends[a] : ends[z]])
+            good = 1 - j <= r + 1e-9
+            good[np.arange(a, z), np.arange(z - a)] = False
+            if not links:
+                good &= np.arange(len(lens))[:, None] < np.arange(a, z)[None, :]
+                yield pairs(j, good, cell, cell.keys[a:z])
+                continue
+            cell.n += (good @ cell.mults[a:z].astype(np.float64)).astype(np.int64)
+            good[np.arange(a, z), np.arange(z - a)] = True
+            cell.union(good)
+
     def rest(cell: Block):
-        return batch(cell.keys, [cell.keys[cell.find(i)] for i in range(len(cell.keys))], cell.n)
+        return batch(cell.keys, cell.keys[cell.root], cell.n)
 
     here, cell = None, None
     for b in batches:
         p, part, key, sizes, mults, role = (b.column(c).to_numpy() for c in ("pivot", "block", "key", "size", "mult", "role"))
-        found = [[], [], []]
         offsets, flat = lists(b, "grams")
-        cut = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (part[1:] != part[:-1])))) if len(p) else []
+        cut = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])))) if len(p) else []
         for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True):
             if (p[a], part[a]) != here:
-                if links and cell:
+                if cell and cell.parts:
+                    yield from closed(cell)
+                if links and cell and cell.keys is not None:
                     yield rest(cell)
                 here, cell = (p[a], part[a]), Block()
-                # The pivot's own row is the first.
-                cell.pivot_grams, cell.pivot_size = np.sort(flat[offsets[a] : offsets[a + 1]]), sizes[a]
-                if role[a] == ASIDE:
-                    a += 1
-            if a == z:
+            if role[a] == INSIDE:
+                cell.add(key[a:z], sizes[a:z].astype(np.int64), mults[a:z], np.diff(offsets[a : z + 1]), flat[offsets[a] : offsets[z]])
                 continue
-            size, at, flats = sizes[a:z], offsets[a : z + 1] - offsets[a], flat[offsets[a] : offsets[z]]
-            both = overlaps(cell.pivot_grams, at, flats)
-            d = 1 - both / np.maximum(1, size + cell.pivot_size - both)
-            fresh, mine = len(cell.keys), np.flatnonzero(role[a:z] == INSIDE)
-            for i in mine:
-                cell.keys.append(int(key[a + i]))
-                cell.grams.append(np.sort(flats[at[i] : at[i + 1]]))
-                cell.sizes.append(int(size[i]))
-                cell.mults.append(int(mults[a + i]))
-                cell.d.append(float(d[i]))
-                cell.n.append(0)
-                cell.root.append(len(cell.root))
-            n, other = np.zeros(z - a, np.int64), np.full(z - a, -1, np.int64)
-            outer = role[a:z] == OUTSIDE
-            for k in range(len(cell.keys)):
-                near = np.abs(d - cell.d[k]) <= r + 1e-9  # by the triangle inequality no other row can be a partner
-                if k >= fresh:
-                    near[mine[: k - fresh + 1]] = False  # members before it have met it
-                at_ = np.flatnonzero(near)
-                if not len(at_):
-                    continue
-                if len(at_) * 2 < len(d):
-                    lens = at[at_ + 1] - at[at_]
-                    begins = np.append(0, np.cumsum(lens))
-                    both = overlaps(cell.grams[k], begins, flats[np.repeat(at[at_] - begins[:-1], lens) + np.arange(begins[-1])])
-                else:
-                    both = overlaps(cell.grams[k], at, flats)[at_]
-                j = both / np.maximum(1, size[at_] + cell.sizes[k] - both)
+            if cell.parts:
+                yield from closed(cell)
+            if cell.keys is None:
+                continue
+            for i in range(a, z, ROWS):
+                e = min(i + ROWS, z)
+                j = cell.similar(sizes[i:e].astype(np.int64), np.diff(offsets[i : e + 1]), flat[offsets[i] : offsets[e]])
                 good = 1 - j <= r + 1e-9
-                at_, j = at_[good], j[good]
-                if not len(at_):
-                    continue
                 if not links:
-                    for f, v in zip(found, (np.full(len(at_), cell.keys[k]), key[a:z][at_], j), strict=True):
-                        f.append(v)
+                    yield pairs(j, good, cell, key[i:e])
                     continue
-                cell.n[k] += int(mults[a:z][at_].sum())
-                n[at_] += cell.mults[k]
-                for i in np.unique(other[at_][other[at_] >= 0]):
-                    cell.union(k, int(i))
-                other[at_] = k
-                for i in at_[~outer[at_]]:
-                    cell.union(k, fresh + int(np.searchsorted(mine, i)))
-            if links:
-                for m, i in enumerate(mine):
-                    cell.n[fresh + m] += int(n[i])
-                there = np.flatnonzero(outer & (n > 0))
-                yield batch(key[a:z][there], [cell.keys[k] for k in other[there]], n[there])
-        if found[0]:
-            yield batch(*(np.concatenate(f) for f in found))
-    if links and cell:
+                cell.n += (good @ mults[i:e].astype(np.float64)).astype(np.int64)
+                n = (cell.mults.astype(np.float64) @ good).astype(np.int64)
+                cell.union(good)
+                there = np.flatnonzero(n)
+                yield batch(key[i:e][there], cell.keys[good[:, there].argmax(axis=0)], n[there])
+    if cell and cell.parts:
+        yield from closed(cell)
+    if links and cell and cell.keys is not None:
         yield rest(cell)
 
 
+def sharing_rarest(core: DataFrame, is_pivot, least: float, all_: bool, signatures: DataFrame) -> DataFrame:
+    """Pairs of a pivot and another document that share a gram they must share for a similarity of ``least``, with a lower bound
+    of their distance; with ``all_``, where all are pivots, each pair once."""
+    # Grams that are in no other document come before those of the array, and take their places in the prefix.
+    length = F.size("grams") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+    prefix = core.withColumn("n", length.cast("int")).where("n > 0").select("key", "size", F.explode(F.slice("grams", 1, F.col("n"))).alias("gram"))
+    pivots = prefix.where(is_pivot).select(F.col("key").alias("pivot"), F.col("size").alias("pivot_size"), "gram")
+    close = (F.col("size") >= F.col("pivot_size") * least - 1e-9) & (F.col("pivot_size") >= F.col("size") * least - 1e-9)
+    close = close & (F.col("key") != F.col("pivot"))
+    if all_:
+        close = close & (F.col("key") > F.col("pivot"))  # either is the other's pivot
+    near = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).select("pivot", "key").distinct()
+    return least_distance(near, signatures)
+
+
 def region_join(core: DataFrame, r: float, levels: tuple[int, ...], links: bool = False) -> DataFrame:
     """Pairs (x, y, v) within distance ``r``, of documents with ``key``, ``size``, ``mult`` and ``grams`` from the rarest on.
 
@@ -509,7 +633,11 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...], links: bool
     window is replicated to the cell's region, and the region joined, a block of the cell's members at a time. What isn't
     settled goes on to the next level; at the last every document is the pivot of a cell of its own.
 
-    A document close enough to a pivot to matter shares one of both's rarest grams (the prefix bound), for which the radius
+    The first levels, with few pivots, count every document's overlap with each of them (``near_pivots``), so that cells can be
+    wide: as wide as ``r`` where that leaves the window some similarity. Near copies of one text may differ by more than half of
+    ``r``; if they stayed on to levels of many pivots, each would be sent to the regions of a share of its whole group.
+
+    At the others a document close enough to a pivot to matter shares one of both's rarest grams (the prefix bound), for which the radius
     has to leave some similarity; and their signatures don't differ in too many bits. Grams are sent only for such pairs.
     """
     if not levels or levels[-1] != 1:
@@ -518,35 +646,31 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...], links: bool
     signatures = written(core.select("key", "size", "grams").mapInArrow(signed, "key long, size int, n int, bits array<long>"))
     out = None
 
-    def sent(rows: DataFrame, *order) -> DataFrame:
-        """Rows with their grams, sorted in their regions with the pivot's own row first."""
+    def sent(rows: DataFrame, order) -> DataFrame:
+        """Rows with their grams, in order in their regions."""
         full = core.select("key", "size", "mult", "grams").join(small(rows), "key")
         keys = [c for c in ("pivot", "block") if c in rows.columns]
-        return full.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("key") != F.col("pivot"), *order)
+        return full.repartition(parts, *keys).sortWithinPartitions(*keys, order)
 
     for number, every in enumerate(levels):
-        radius = 0.0 if every == 1 else min(r, 1 - r) / 2
-        least = 1 - radius - r
-        # Grams that are in no other document come before those of the array, and take their places in the prefix.
-        length = F.size("grams") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-        prefix = core.withColumn("n", length.cast("int")).where("n > 0").select("key", "size", F.explode(F.slice("grams", 1, F.col("n"))).alias("gram"))
         is_pivot = F.pmod(F.xxhash64("key", F.lit(number)), F.lit(every)) == 0
-        pivots = prefix.where(is_pivot).select(F.col("key").alias("pivot"), F.col("size").alias("pivot_size"), "gram")
-        close = (F.col("size") >= F.col("pivot_size") * least - 1e-9) & (F.col("pivot_size") >= F.col("size") * least - 1e-9)
-        close = close & (F.col("key") != F.col("pivot"))
-        if every == 1:
-            close = close & (F.col("key") > F.col("pivot"))  # either is the other's pivot
-        near = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).select("pivot", "key").distinct()
-        near = written(least_distance(near, signatures).where(F.col("least") <= radius + r + 1e-9))
+        if every >= COUNTED:
+            radius = min(r, 0.9 * (1 - r))
+            done = near_pivots(core, is_pivot, 1 - radius - r)
+            near = functools.reduce(DataFrame.unionByName, done)
+        else:
+            radius = 0.0 if every == 1 else min(r, 1 - r) / 2
+            near = written(sharing_rarest(core, is_pivot, 1 - radius - r, every == 1, signatures).where(F.col("least") <= radius + r + 1e-9))
+            done = [near]
         selves = near.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))
         if every == 1:
             region = near.select("pivot", "key").unionByName(selves)
             region = region.select("pivot", F.lit(0).alias("block"), "key", F.when(F.col("key") == F.col("pivot"), INSIDE).otherwise(OUTSIDE).alias("role"))
-            done = [near]
         else:
-            maybe = near.where(F.col("least") <= radius + 1e-9).select("pivot", "key")
-            d = sent(maybe.unionByName(maybe.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))))
-            d = d.select("pivot", "key", "size", "grams").mapInArrow(distances, "pivot long, key long, d double").where(F.col("d") <= radius + 1e-9)
+            d = near.where(F.col("least") <= radius + 1e-9).select("pivot", "key", F.col("least").alias("d"))
+            if every < COUNTED:
+                d = sent(d.select("pivot", "key").unionByName(d.select("pivot").distinct().select("pivot", F.col("pivot").alias("key"))), F.col("key") != F.col("pivot"))
+                d = d.select("pivot", "key", "size", "grams").mapInArrow(distances, "pivot long, key long, d double").where(F.col("d") <= radius + 1e-9)
             d = d.unionByName(selves.select("pivot", "key", F.lit(0.0).alias("d")))
             homes = d.groupBy("key").agg(F.min(F.struct("d", "pivot")).alias("m")).select("key", F.col("m.pivot").alias("home"), F.col("m.d").alias("home_d"))
             homes = written(homes)
@@ -555,13 +679,13 @@ def region_join(core: DataFrame, r: float, levels: tuple[int, ...], links: bool
             region = region.join(cells, "pivot").where(F.col("least") <= F.col("reach") + 1e-9).join(homes.select("key", "home"), "key", "left")
             own = F.coalesce(F.col("home") == F.col("pivot"), F.lit(False))
             # A pair of two cells is given by that of the smaller pivot, one of two blocks by the smaller block.
-            region = region.where(F.col("home").isNull() | (F.col("home") >= F.col("pivot")) | (F.col("key") == F.col("pivot")))
+            region = region.where(F.col("home").isNull() | (F.col("home") >= F.col("pivot")))
             mine = F.when(own, F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
             region = region.select("pivot", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-            region = region.where(F.col("mine").isNull() | (F.col("block") <= F.col("mine")) | (F.col("key") == F.col("pivot")))
-            role = F.when(F.col("mine") == F.col("block"), INSIDE).when(F.col("mine") < F.col("block"), ASIDE).otherwise(OUTSIDE)
+            region = region.where(F.col("mine").isNull() | (F.col("block") <= F.col("mine")))
+            role = F.when(F.col("mine") == F.col("block"), INSIDE).otherwise(OUTSIDE)
             region = written(region.select("pivot", "block", "key", role.alias("role")))
-            done = [near, homes, region]
+            done += [homes, region]
         rows = sent(region, F.col("role")).select("pivot", "block", "key", "size", "mult", "role", "grams")
         pairs = written(rows.mapInArrow(lambda it: joined(it, r, links), f"x long, y long, v {'long' if links else 'double'}"))
         if every != 1:

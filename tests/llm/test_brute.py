@@ -3,6 +3,7 @@
 import collections
 import random
 import time
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,52 @@ def test_query_has_all_links(spark, small_dir):
     assert got == links_and_groups(documents(spark, small_dir), ngram_join.THRESHOLD)
 
 
+def test_large_group_is_not_sent_pair_by_pair(spark, monkeypatch):
+    rng, rows = random.Random(11), []
+    base = [f"b{i}" for i in range(80)]
+    for i in range(700):  # copies of one text, many of them further apart than half of the distance allowed
+        share = rng.uniform(0.01, 0.1)
+        rows.append((i, " ".join(f"x{rng.randrange(40)}" if rng.random() < share else w for w in base)))
+    written, sent = ngram_join.written, []
+
+    def counting(df):
+        out = written(df)
+        if "pivot" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), levels=(64, 8, 1)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == links_and_groups(rows, ngram_join.THRESHOLD)
+    assert sum(sent) < 50 * len(rows)
+
+
+@pytest.mark.parametrize("held,threshold", [(100, 0.55), (2_000_000, 0.2), (300, 1.0)])
+def test_counted_levels_in_several_passes(spark, monkeypatch, held, threshold):
+    monkeypatch.setattr(ngram_join, "COUNTED", 2)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    rows = with_copies(4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.near_groups(df, threshold=threshold, levels=(8, 2, 1)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == links_and_groups(rows, threshold)
+
+
+@pytest.mark.parametrize("hits", [1, 40])
+def test_hits_held_at_once(monkeypatch, hits):
+    monkeypatch.setattr(ngram_join, "HITS", hits)
+    sets = [np.unique(np.random.default_rng(i).integers(0, 40, 12)) for i in range(30)]
+    sizes, offsets = np.array([len(s) for s in sets]), np.cumsum([0] + [len(s) for s in sets[:9]])
+    flat, owner = np.concatenate(sets[:9]), np.repeat(np.arange(9), np.diff(offsets))
+    order = np.argsort(flat, kind="stable")
+    known, begins = np.unique(flat[order], return_index=True)
+    held = types.SimpleNamespace(value=(np.arange(9), sizes[:9], known, np.append(begins, len(flat)), owner[order]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(sizes), pa.array([s.tolist() for s in sets])], names=["key", "size", "grams"])
+    got = {(r["pivot"], r["key"]): r["least"] for b in ngram_join.counted([batch], held, 0.2) for r in b.to_pylist()}
+    share = {(p, k): len({*sets[p]} & {*sets[k]}) / len({*sets[p]} | {*sets[k]}) for p in range(9) for k in range(30) if p != k}
+    assert got == {pair: pytest.approx(1 - j) for pair, j in share.items() if j >= 0.2}
+
+
 @pytest.mark.parametrize("levels,threshold", [((2, 1), 0.3)])
 def test_all_pairs_at_low_thresholds(spark, levels, threshold):
     rows = near_copies(8)
