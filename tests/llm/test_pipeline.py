@@ -70,3 +70,25 @@ def test_stages_on_edges(spark, tmp_path):
         assert stage.columns == list(corpus_pipeline.COLUMNS)
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_a_large_group_are_not_sent_to_each_other(spark, monkeypatch):
+    rng = random.Random(11)
+    base, sent, written = [f"b{i}" for i in range(80)], [], ngram_join.written
+    rows = []
+    for i in range(700):
+        share = rng.uniform(0.01, 0.1)
+        rows.append((i, " ".join(f"x{rng.randrange(40)}" if rng.random() < share else w for w in base), "en", "src0", 1))
+
+    def counting(df):
+        out = written(df)
+        if "pivot" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, docs, None).collect()}
+    root = brute.groups(brute.jaccard_pairs([(r[0], r[1]) for r in rows], ngram_join.THRESHOLD))
+    assert kept == {i for i, *_ in rows if root.get(i, i) == i}
+    assert sum(sent) < 50 * len(rows)
