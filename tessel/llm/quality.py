@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessel.llm.frames import Packed, lean, release, written
+from tessel.llm.frames import Packed, lean, release, trimmed, written
 from tessel.llm.tokens import lots
 
 #: Words of a passage.
@@ -27,6 +27,8 @@ SHAPES, PRIORS = 8, 5
 PACE = 0.1
 #: Times, at most, that every text is learnt from.
 ROUNDS = 30
+#: Words, about, that are counted or scored together while fitting, so that memory doesn't follow the number of texts.
+TOGETHER = 100_000
 EDGE = ".,;:!?()[]{}\"'«»¿¡*#%&$|-_<>/\\"
 
 
@@ -80,12 +82,34 @@ def texts_of(d: Passages):
     return np.repeat(np.repeat(np.arange(len(d.bags)), d.bags), d.sizes).astype(np.int64)
 
 
+def in_lots(d: Passages):
+    """Numbers of neighbouring texts, in lots of about ``TOGETHER`` words."""
+    import numpy as np
+
+    ends = np.append(0, np.cumsum(d.sizes))[np.cumsum(d.bags)]
+    return np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // TOGETHER)) + 1)
+
+
+def texts_with(d: Passages, *columns: str, some=None):
+    """How many texts have each bucket in one of the columns, and how many of ``some`` do."""
+    import numpy as np
+
+    there, of_some = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for lot in in_lots(d):
+        own = d.of(lot)
+        text = texts_of(own)
+        seen = np.unique(np.concatenate([text * BUCKETS + getattr(own, c) for c in columns]))
+        there += np.bincount(seen % BUCKETS, minlength=BUCKETS)
+        if some is not None:
+            of_some += np.bincount(seen[some[lot][seen // BUCKETS]] % BUCKETS, minlength=BUCKETS)
+    return there, of_some
+
+
 def odds_of(d: Passages, good):
     """Smoothed log odds, from texts that have the word, for words of at least ``LEAST`` texts; others have 0."""
     import numpy as np
 
-    seen = np.unique(texts_of(d) * BUCKETS + d.words)
-    there, bad = np.bincount(seen % BUCKETS, minlength=BUCKETS), np.bincount(seen % BUCKETS, ~good[seen // BUCKETS], BUCKETS)
+    there, bad = texts_with(d, "words", some=~good)
     odds = np.log((bad + 1) / ((~good).sum() + 2)) - np.log((there - bad + 1) / (good.sum() + 2))
     return np.where(there >= LEAST, odds, 0).astype(np.float32)
 
@@ -233,9 +257,7 @@ def fit(d: Passages, shapes, good, hidden: int = 16, gate: int = 8, steps: int =
     rng = np.random.default_rng(seed)
     f = 3 * WIDTH + shapes.shape[1]
     w = {"e": rng.normal(0, f**-0.5, (f, hidden)), "eb": np.zeros(hidden), "v": rng.normal(0, hidden**-0.5, (hidden, gate)), "u": rng.normal(0, hidden**-0.5, (hidden, gate)), "a": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "cb": np.zeros(())}
-    text = texts_of(d)
-    seen = np.unique(np.concatenate((text * BUCKETS + d.words, text * BUCKETS + d.pairs)))
-    often = np.bincount(seen % BUCKETS, minlength=BUCKETS) >= LEAST
+    often = texts_with(d, "words", "pairs")[0] >= LEAST
     w["words"] = rng.normal(0, 0.05, (BUCKETS, WIDTH)) * often[:, None]
     m, q = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     each = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * len(good)
@@ -275,7 +297,8 @@ def fitted(d: Passages, good, number: int):
 
     good = np.asarray(good, bool)
     there = np.flatnonzero(d.bags)
-    d, good = d.of(there), good[there]
+    if len(there) < len(good):
+        d, good = d.of(there), good[there]
     if min(good.sum(), (~good).sum()) < 2:
         return None
     # Each half's priors come from the other half, so that passages don't know their own labels.
@@ -290,7 +313,9 @@ def fitted(d: Passages, good, number: int):
         return {"weights": {k: v.astype(np.float32) for k, v in fit(d, shapes, good).items()}, "odds": odds_of(d, good), "mean": mean, "scale": scale}
     mine, other = halves[number], halves[1 - number]
     w = fit(d.of(other), shapes[spread(first[other], d.bags[other])], good[other])
-    return forward(w, d.of(mine), shapes[spread(first[mine], d.bags[mine])])[-1][good[mine]]
+    d, shapes, good = d.of(mine), shapes[spread(first[mine], d.bags[mine])], good[mine]
+    first = d.bags.cumsum() - d.bags
+    return np.concatenate([forward(w, d.of(lot), shapes[spread(first[lot], d.bags[lot])])[-1] for lot in in_lots(d)])[good]
 
 
 def model_of(fits: list, loss: float = LOSS) -> Model | None:
@@ -310,15 +335,14 @@ def train(texts: list[str], good, loss: float = LOSS) -> Model | None:
     return model_of([fitted(d, good, k) for k in range(3)], loss)
 
 
-@lean
-def fits(batches: Iterator) -> Iterator:
-    """A fit, from rows with its number and all labelled texts as passages."""
+def gathered(batches: Iterator):
+    """Labelled texts as passages, whether each is good, and the number of the fit; None without rows. The batches aren't kept."""
     import numpy as np
     import pyarrow as pa
 
     parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not parts:
-        return
+        return None
     found = pa.concat_tables(parts).sort_by("id")
     n = np.array([len(x) for x in found.column("words")], np.int64)
     bags = -(-n // PASSAGE)
@@ -326,8 +350,20 @@ def fits(batches: Iterator) -> Iterator:
     at = np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags)
     starts = np.repeat(np.cumsum(n) - n, bags) + at * PASSAGE
     d = Passages(flat("words", np.int32), flat("pairs", np.int32), starts, flat("shapes", np.float32).reshape(-1, SHAPES), bags)
-    number = found.column("number")[0].as_py()
-    got = fitted(d, np.array(found.column("good").to_pylist()) == 1, number)
+    return d, np.array(found.column("good").to_pylist()) == 1, found.column("number")[0].as_py()
+
+
+@lean
+def fits(batches: Iterator) -> Iterator:
+    """A fit, from rows with its number and all labelled texts as passages."""
+    import pyarrow as pa
+
+    rows = gathered(batches)
+    if rows is None:
+        return
+    number = rows[-1]
+    trimmed()
+    got = fitted(*rows)
     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["number", "got"])
 
 

@@ -3,6 +3,7 @@
 import collections
 import random
 import time
+import tracemalloc
 import types
 
 import numpy as np
@@ -392,3 +393,32 @@ def test_lots_do_not_matter(spark, small_dir):
     some = np.array([5, 3, 8])
     own, want = d.of(some), quality.Encoder().encode([texts[i] for i in some])
     assert all(np.allclose(getattr(own, c), getattr(want, c), atol=1e-4) for c in ("words", "pairs", "starts", "shapes", "bags"))
+
+
+@pytest.mark.parametrize("number", [0, 1, 2])
+def test_memory_of_a_fit(monkeypatch, number):
+    """Beside its texts a fit holds no more than a few lots, however many texts there are."""
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    rng, n = np.random.default_rng(3), 2000
+    words = rng.integers(0, quality.BUCKETS, (2, n * 640), np.int32)
+    d = quality.Passages(*words, np.arange(0, n * 640, 64), rng.normal(size=(n * 10, quality.SHAPES)).astype(np.float32), np.full(n, 10))
+    tracemalloc.start()
+    try:
+        quality.fitted(d, np.arange(n) % 2 == 0, number)
+        assert tracemalloc.get_traced_memory()[1] < 90e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_odds_are_of_all_texts():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijkl") * rng.randint(1, 3) for _ in range(rng.randint(1, 900))) for _ in range(600)]
+    good = np.array([rng.random() < 0.6 for _ in texts])
+    d, one = quality.Encoder().encode(texts), quality.Encoder()
+    sets = [set(one.encode([t]).words.tolist()) for t in texts]
+    odds = quality.odds_of(d, good)
+    for w in set().union(*sets):
+        there, bad = sum(w in s for s in sets), sum(w in s for s, g in zip(sets, good) if not g)
+        want = np.log((bad + 1) / ((~good).sum() + 2)) - np.log((there - bad + 1) / (good.sum() + 2)) if there >= quality.LEAST else 0
+        assert odds[w] == pytest.approx(want, abs=1e-6)
+    assert np.count_nonzero(odds) <= len(set().union(*sets))
