@@ -608,17 +608,28 @@ def joined(batches: Iterator, r: float, links: bool) -> Iterator:
 
 
 def sharing_rarest(core: DataFrame, is_pivot, least: float, all_: bool, signatures: DataFrame) -> DataFrame:
-    """Pairs of a pivot and another document that share a gram they must share for a similarity of ``least``, with a lower bound
-    of their distance; with ``all_``, where all are pivots, each pair once."""
+    """Pairs of a pivot and another document that share as many of their rarest grams as a similarity of ``least`` asks for, with a
+    lower bound of their distance; with ``all_``, where all are pivots, each pair once.
+
+    Of the two documents' prefixes, let x's end at the rarer gram. What both share up to there is in both prefixes and counted;
+    what they share beyond is among x's other grams. So their overlap is at most that count and the longer rest. Signatures
+    alone don't part long documents, which have grams in nearly all classes of hashes: any two would pass for one shared gram.
+    """
+
+    def rest(size):
+        return F.ceil(F.lit(least) * size - 1e-9) - 1
+
     # Grams that are in no other document come before those of the array, and take their places in the prefix.
-    length = F.size("grams") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+    length = F.size("grams") - rest(F.col("size"))
     prefix = core.withColumn("n", length.cast("int")).where("n > 0").select("key", "size", F.explode(F.slice("grams", 1, F.col("n"))).alias("gram"))
     pivots = prefix.where(is_pivot).select(F.col("key").alias("pivot"), F.col("size").alias("pivot_size"), "gram")
     close = (F.col("size") >= F.col("pivot_size") * least - 1e-9) & (F.col("pivot_size") >= F.col("size") * least - 1e-9)
     close = close & (F.col("key") != F.col("pivot"))
     if all_:
         close = close & (F.col("key") > F.col("pivot"))  # either is the other's pivot
-    near = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).select("pivot", "key").distinct()
+    shared = prefix.join(small(pivots, SENT_GRAMS), "gram").where(close).groupBy("pivot", "key", "size", "pivot_size").agg(F.count("*").alias("shared"))
+    most = F.col("shared") + rest(F.greatest("size", "pivot_size"))
+    near = shared.where(most >= least / (1 + least) * (F.col("size") + F.col("pivot_size")) - 1e-6).select("pivot", "key")
     return least_distance(near, signatures)
 
 

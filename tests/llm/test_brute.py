@@ -83,6 +83,26 @@ def test_large_group_is_not_sent_pair_by_pair(spark, monkeypatch):
     assert sum(sent) < 50 * len(rows)
 
 
+def test_long_documents_that_share_a_few_grams_are_not_sent_to_each_other(spark, monkeypatch):
+    rng, rows = random.Random(12), []
+    for i in range(20):  # of so many grams that signatures can't part them
+        words = [f"w{rng.randrange(60)}" for _ in range(6000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(w for w in words if rng.random() > 0.05))]
+    written, near = ngram_join.written, []
+
+    def counting(df):
+        out = written(df)
+        if "least" in out.columns:
+            near.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), levels=(2, 1)).collect()
+    wanted = links_and_groups(rows, ngram_join.THRESHOLD)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == wanted and len({*wanted.values()}) == 20
+    assert sum(near) < 2 * len(rows)
+
+
 @pytest.mark.parametrize("held,threshold", [(100, 0.55), (2_000_000, 0.2), (300, 1.0)])
 def test_counted_levels_in_several_passes(spark, monkeypatch, held, threshold):
     monkeypatch.setattr(ngram_join, "COUNTED", 2)
