@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import written
+
+#: Rows of a lot, and pairs that a task tests, in a join of ranges.
+LOT, TESTS = 1500, 8_000_000
+
 
 def first(df: DataFrame, most: int | None, *order: str) -> DataFrame:
     return df if most is None else df.orderBy(*order).limit(most)
@@ -44,13 +51,28 @@ def range_overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_r
 
     Ranges are laid over buckets of ``width``, joined by bucket, and tested; a pair is given by the first bucket both are
     in, so that none is given twice. ``width`` should be near the usual length of a range.
+
+    The pairs of a bucket grow with the product of its sides. So each side is cut into lots of some ``LOT`` rows, every lot
+    of one side meets every lot of the other by itself, and there are as many tasks as the pairs to test need.
     """
     (s, e), (t, f) = a_range, b_range
 
-    def bucket(c: Column) -> Column:
-        return F.floor(c / F.lit(float(width)))
-
-    left = a.withColumn("bucket", F.explode(F.sequence(bucket(F.col(s)), bucket(F.col(e)))))
-    right = b.withColumn("bucket", F.explode(F.sequence(bucket(F.col(t)), bucket(F.col(f)))))
-    both = left.join(right, "bucket").where((F.col(s) <= F.col(f)) & (F.col(e) >= F.col(t)))
-    return both.where(F.col("bucket") == F.greatest(bucket(F.col(s)), bucket(F.col(t)))).drop("bucket")
+    def bucketed(df: DataFrame, lo: str, hi: str, begin: str, at: str) -> DataFrame:
+        # Written with its rows' numbers, so that a lot is the same whenever it is read.
+        buckets = [F.floor(F.col(c) / F.lit(float(width))) for c in (lo, hi)]
+        rows = written(df.withColumns({at: F.xxhash64(F.monotonically_increasing_id()), begin: buckets[0], "buckets_": F.sequence(*buckets)}))
+        return rows.withColumn("bucket_", F.explode("buckets_")).drop("buckets_")
+
+    left, right = bucketed(a, s, e, "begin_a_", "at_a_"), bucketed(b, t, f, "begin_b_", "at_b_")
+    sizes = written(left.groupBy("bucket_").agg(F.count("*").alias("a_")).join(right.groupBy("bucket_").agg(F.count("*").alias("b_")), "bucket_"))
+    tests = sizes.agg(F.sum(F.col("a_").cast("double") * F.col("b_"))).first()[0] or 0.0
+    tasks, cell = math.ceil(tests / TESTS) or 1, ["bucket_", "lot_a_", "lot_b_"]
+
+    def celled(df: DataFrame, own: str, other: str) -> DataFrame:
+        lots = {x: F.ceil(F.col(f"{x}_") / LOT) for x in (own, other)}
+        cut = df.join(sizes, "bucket_").withColumn(f"lot_{own}_", F.pmod(f"at_{own}_", lots[own])).withColumn(f"lot_{other}_", F.explode(F.sequence(F.lit(0), lots[other] - 1)))
+        return cut.drop("a_", "b_", f"at_{own}_").repartition(tasks, *cell)
+
+    # Merged, since a lot's rows, one for every lot it meets, are far more than a broadcast's estimate.
+    both = celled(left, "a", "b").join(celled(right, "b", "a").hint("merge"), cell).where((F.col(s) <= F.col(f)) & (F.col(e) >= F.col(t)))
+    return both.where(F.col("bucket_") == F.greatest("begin_a_", "begin_b_")).drop(*cell, "begin_a_", "begin_b_")

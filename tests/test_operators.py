@@ -1,6 +1,7 @@
 """Frames: multisets, ranks, as-of, NaN in aggregates, series and overlaps."""
 
 import math
+from collections import Counter
 import random
 
 import pytest
@@ -51,6 +52,19 @@ def test_overlap_join_gives_each_pair_once(spark):
     assert sorted((r.i, r.j) for r in got.collect()) == want
 
 
+def test_overlap_join_divides_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(filters, "LOT", 10, raising=False)
+    monkeypatch.setattr(filters, "TESTS", 200, raising=False)
+    a = [(i // 2, float(i % 7), i % 7 + 3.0) for i in range(100)] + [(50, None, 1.0), (51, 2.0, None), (52, 30.0, -30.0)]
+    b = [(i // 3, float(i % 5) - 1, float(i % 5)) for i in range(120)] + [(60, None, None), (61, -40.0, 40.0)]
+    got = filters.range_overlap_join(spark.createDataFrame(a, "i int, s double, e double"), spark.createDataFrame(b, "j int, t double, f double"), ("s", "e"), ("t", "f"), 20.0)
+    want = sorted((i, j) for i, s, e in a for j, t, f in b if None not in (s, e, t, f) and s <= f and e >= t)
+    rows = got.select("i", "j", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.i, r.j) for r in rows) == want
+    assert max(Counter(r.task for r in rows).values()) < len(want) / 8
+    assert filters.range_overlap_join(got.select("i", "s", "e").where("false"), got.select("j", "t", "f"), ("s", "e"), ("t", "f"), 20.0).count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_ranks(spark, parts):
     data = [(float((i * 7919) % 101), i) for i in range(300)] + [(NAN, 300), (None, 301)]
