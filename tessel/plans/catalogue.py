@@ -351,8 +351,13 @@ FORMS = [
 ]
 
 
+#: Events whose strings a task classifies: few bytes of a table make much work.
+EVENTS_A_TASK = 20_000
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.array(*[F.expr(f[0]) for f in FORMS])).alias("form", "s"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    rows = events.repartition(events.count() // EVENTS_A_TASK + 1).select("event_id", F.posexplode(F.array(*[F.expr(f[0]) for f in FORMS])).alias("form", "s"))
     noon = F.lit(1705276800000 + 43200000)  # the clock of date arithmetic
     # Inlined, so that the struct is made once and not again for each of its fields.
     return rows.select("event_id", "form", F.inline(F.array(classify.classify(F.col("s"), noon))))

@@ -2,11 +2,13 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessel.functions import arrays, calendar, classify, distance, elementwise, text
+from tessel.plans import catalogue
 
 NAN, INF = float("nan"), float("inf")
 
@@ -145,3 +147,20 @@ def test_classify(spark):
     assert got[len(CASES)] is None
     assert [got[i].element_count for i, c in enumerate(CASES) if c[0] in ("[1, 2, 3]", "[1, 2, not_a_number]", "[]", "[[1,2],[3]]")] == [3, 2, 0, 3]
     assert [got[i].numeric_value_2 for i, c in enumerate(CASES) if c[1] == "Geo"] == [pytest.approx(-74.006)]
+
+
+def test_classify_takes_strings_together():
+    strings = ["", None, "1", "[1, 2]", "é", "[]", '["a,b", x]', "2024-02-30", "12/31/2024", "now-1d/d", "[,[true],null]", "10.0.0.1", None, "+.5,-7.", "a" * 50, "[2024-01-15, 2023-Feb-Mon]", "now+" + "9" * 400 + "h/d"]
+    clocks = pa.array([1e12] * len(strings))
+    whole = classify.of_batch(pa.array(strings, pa.string()), clocks).to_pylist()
+    assert whole == [classify.of_batch(pa.array([s], pa.string()), clocks[:1]).to_pylist()[0] for s in strings]
+    kinds = ["String", None, "Integer", "IntegerArray", "String", "Array", "String", "String", "AmericanDate", "DateMath", "Array", "IPAddressV4", None, "Geo", "String", "FullDateArray", "DateMath"]
+    assert [r and r["kind"] for r in whole] == kinds and whole[-1]["numeric_value_1"] == INF and whole[6]["element_count"] == 1
+    sliced = classify.of_batch(pa.array(strings, pa.string())[2:], clocks[2:]).to_pylist()
+    assert sliced == whole[2:]
+
+
+def test_classified_events_are_spread_over_tasks(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(catalogue, "EVENTS_A_TASK", 100, raising=False)
+    got = catalogue.QUERIES["classify_string"](spark, small_dir).groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) >= 10 and sum(r["count"] for r in got) == 1000 * len(catalogue.FORMS)
